@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import token_counts
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import bpe
 
@@ -25,5 +31,22 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
-QUERIES = {"op2_bpe_round_trip": op2_bpe_round_trip}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import quality_rules
+
+    return quality_rules.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import mixing
+
+    return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_source_mixing": op10_source_mixing,
+}
 ORACLES: dict[str, str] = {}
