@@ -23,7 +23,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     from quern.llm import quality_classifier
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality_classifier.fit(docs, labels)
+    model = quality_classifier.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)  # all labelled rows, as the rules before have taken bad ones
     return quality_classifier.score(docs, model, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
 
 
