@@ -1,10 +1,11 @@
 """Quality rules in DataFrame expressions alone: repetition and length rules, then a likelihood ratio.
 
-Each document's words and neighbouring word pairs are hashed to BUCKETS; trusted documents (labelled quality 1) and the
+Each document's words are hashed to 16-bit codes, and codes and neighbouring pairs of them to BUCKETS; trusted documents (labelled quality 1) and the
 whole corpus each give a multinomial over the buckets, smoothed by ALPHA.  A document's log-likelihood ratio between the
 two, divided by its number of words and pairs, is held against THRESHOLD: every document gets a verdict, with no
 sampling and no random draw.  The bucket weights are the one thing that reaches the driver: BUCKETS numbers, whatever
-the corpus.
+the corpus.  To be marked as trusted, documents meet their labels as codes, two bytes a word, not as texts; labels grow
+with the documents, so that join is always by sorted shuffles.
 
 Defined results: null and blank texts have no words, ratio 0 and fail the base rules; null and repeated ids are kept as
 rows (a null id is never trusted; a labelled id is trusted if any of its labels says so); only the columns named are
@@ -50,27 +51,32 @@ def repeated_words(h: str = "_h") -> str:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _words (word array), _h (their hashes), _n (their number)."""
+    """docs with _words (word array), _h (their hashes), _codes (short ones), _n (their number)."""
     return (
         docs.withColumn("_words", F.expr(words_of(f"`{text_col}`")))
         .withColumn("_h", F.expr("transform(_words, w -> xxhash64(w))"))
         .withColumn("_n", F.size("_h").cast("long"))
+        .withColumn("_codes", F.expr(codes()))
     )
 
 
-def grams(h: str = "_h") -> str:
+def codes(words: str = "_words") -> str:
+    """SQL: a 16-bit hash of each word."""
+    return f"transform({words}, w -> cast(pmod(xxhash64(w), 65536L) - 32768 as smallint))"
+
+
+def grams(c: str = "_codes") -> str:
     """SQL: the buckets of words and pairs."""
-    return f"concat(transform({h}, x -> cast(pmod(x, {BUCKETS}L) as int)), transform(slice({h}, 1, greatest(size({h}) - 1, 0)), (x, i) -> cast(pmod(xxhash64(x, get({h}, i + 1)), {BUCKETS}L) as int)))"
+    return f"concat(transform({c}, x -> cast(pmod(x, {BUCKETS}) as int)), transform(slice({c}, 1, greatest(size({c}) - 1, 0)), (x, i) -> cast(pmod(xxhash64(x, get({c}, i + 1)), {BUCKETS}L) as int)))"
 
 
 def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """The weight of each bucket, in UNITs."""
     trusted = labels.filter("quality = 1").select(F.col("doc_id").alias("_trusted")).filter("_trusted is not null").distinct()
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    marked = slim.join(trusted, F.col("_id") == F.col("_trusted"), "left").select("_text", F.col("_trusted").isNotNull().cast("int").alias("_good"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.expr(codes(words_of(f"`{text_col}`"))).alias("_codes"))
     counts = (
-        features(marked, "_text")
-        .select("_good", F.explode(F.expr(grams())).alias("bucket"))
+        slim.join(trusted.hint("merge"), F.col("_id") == F.col("_trusted"), "left")
+        .select(F.col("_trusted").isNotNull().cast("int").alias("_good"), F.explode(F.expr(grams())).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("_good").alias("target"))
     )
@@ -84,10 +90,10 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return [round(UNIT * (math.log(t + ALPHA) - math.log(r + ALPHA) + shift)) for r, t in zip(raw, target, strict=True)]
 
 
-def ratio(of: list[int], h: str = "_h") -> Column:
+def ratio(of: list[int]) -> Column:
     """The mean weight of a document's words and pairs."""
     table = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
-    total = F.aggregate(F.expr(grams(h)), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
+    total = F.aggregate(F.expr(grams()), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
     return F.when(F.col("_n") > 0, total / (F.lit(UNIT) * (2 * F.col("_n") - 1))).otherwise(F.lit(0.0))
 
 
