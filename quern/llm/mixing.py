@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 BLOCK_WORDS, SHARD_DOCS, SEED = 32, 4096, 20240229
 #: Weights of sources in order, repeating; what is shared, and the most of a source, as parts of sizes.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: Sources whose table of targets may be broadcast.
+FEW_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +79,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     """id, size, source_size, target, taken of every row, with the columns keep; _base and _picked tell which blocks."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    sized = slim.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = slim.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_tie", F.xxhash64("_text"))
     keyed = sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")))
     found = keyed.groupBy("_source", "_key").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
     found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
@@ -87,6 +89,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         [(r["_key"], r["size"], t, q, max(1, math.ceil(r["n"] / SHARD_DOCS))) for r, t, q in zip(found, wanted, blocks, strict=True)],
         "_key string, _source_size long, _target double, _quota long, _shards int",
     )
+    if len(found) <= FEW_SOURCES:  # else a shuffle, in which no source can be large
+        per_source = F.broadcast(per_source)
     dealt = keyed.join(per_source, "_key").withColumn("_shard", F.expr(f"cast(pmod(xxhash64({seed}, _id), _shards) as int)"))
 
     def apportion(shards: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +106,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         return pd.DataFrame({"_key": shards["_key"], "_shard": shards["_shard"], "_blocks": [max(1, x) for x in n], "_seats": quota, "_step": step})
 
     per_shard = dealt.groupBy("_key", "_shard", "_quota").agg(F.sum("_size").alias("words")).groupBy("_key").applyInPandas(apportion, "_key string, _shard int, _blocks long, _seats long, _step long")
-    order = Window.partitionBy("_key", "_shard").orderBy(F.expr(f"xxhash64(_id, {seed})"), "_id", "_size", "_text", *(f"_keep_{c}" for c in keep)).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_key", "_shard").orderBy(F.expr(f"xxhash64(_id, {seed})"), "_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.join(per_shard, ["_key", "_shard"]).withColumn("_start", F.sum("_size").over(order) - F.col("_size"))
     last = f"greatest(_start + _size - 1, _start) div {BLOCK_WORDS}L"
     picked = f"pmod(b * _step + {seed}L, _blocks) < _seats % _blocks"
