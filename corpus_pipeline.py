@@ -31,8 +31,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document of smallest id of each class of near copies."""
     from quern.llm import minhash
 
-    gone = minhash.classes(docs).filter("not is_representative").select(F.col("doc_id").alias("gone_id"))
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    found = minhash.classes(docs)
+    kept = found.filter("is_representative").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    left = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(text) == F.col("_md5")), "left_semi")
+    repeated = found.groupBy("doc_id", "text_md5").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 ALPHA = 0.5
 #: Mean log-likelihood ratio a word or pair below which a document goes.
-THRESHOLD = -0.15
+THRESHOLD = -0.12
 #: Weights are carried as integers of this part of a unit, so that sums don't depend on their order.
 UNIT = 10_000
 #: Words in a repeated window, and the rules' limits.

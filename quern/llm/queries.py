@@ -43,6 +43,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import minhash
+
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import topk
 
@@ -73,6 +79,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm import lm_scoring
+
+    return lm_scoring.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import html_extraction
 
@@ -92,8 +104,10 @@ FROM r
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_warc": op7_warc,
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_rules": op9_quality_rules,

@@ -65,11 +65,12 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def pack_counts(a: np.ndarray) -> bytes:
-    """For small non-negative integers: the narrowest unsigned type that holds them, named by the first byte."""
+    """For small non-negative integers: the narrowest unsigned type that holds them, named by the first byte, in planes."""
     top = int(a.max()) if a.size else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + pack(a.astype(f"u{width}"))
+    return bytes([width]) + pack(a.astype(f"u{width}").view(np.uint8).reshape(-1, width).T)
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    return unpack(b[1:], f"u{b[0]}").astype(np.int64)
+    planes = unpack(b[1:], np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"u{b[0]}").astype(np.int64)
