@@ -28,8 +28,12 @@ LEAF = 4096
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose class could differ between versions of Unicode; texts that have them are split by the library.
 UNSURE = re.compile("[^\\u0000-\\u024F\\u2010-\\u2027\\u2030-\\u205E\\u20A0-\\u20BF]")
-#: A run that the splitting pattern might leave whole.
-LONG_RUN = re.compile(rf"\S{{{LEAF},}}|\s{{{LEAF},}}")
+SPACES = re.compile(rf"\s{{{LEAF}}}")
+
+
+def has_long_run(text: str) -> bool:
+    """Whether the splitting pattern might leave LEAF characters whole."""
+    return len(text) >= LEAF and (max(map(len, text.split()), default=0) >= LEAF or bool(SPACES.search(text)))
 
 
 def default_vocabulary() -> str:
@@ -88,9 +92,9 @@ class Codec:
     def _ordinary(self, text: str) -> list[int]:
         if not text:
             return []
-        if LONG_RUN.search(text):
+        if has_long_run(text):
             return [i for p in self.pieces(text) for i in self.encode_unsplit(p.encode("utf-8", "surrogatepass"))]
-        if UNSURE.search(text):
+        if not text.isascii() and UNSURE.search(text):
             return self.library.encode(text, add_special_tokens=False).ids if not self.cut or not self.cut.search(text) else self.encode(text)
         return self.core.encode_ordinary(text)
 

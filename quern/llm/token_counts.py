@@ -62,7 +62,7 @@ class Splitter:
         return self._plain(text), 0
 
     def _plain(self, text: str) -> list[str]:
-        return self.codec.pieces(text) if bpe.UNSURE.search(text) else self.find(text)
+        return self.codec.pieces(text) if not text.isascii() and bpe.UNSURE.search(text) else self.find(text)
 
     def count(self, piece: bytes) -> int:
         if self.model:
