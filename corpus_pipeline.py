@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import shared
+from quern.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,6 +23,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Drop the documents that the compression classifier takes for bad ones."""
     from quern.llm import quality_classifier
 
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)  # all labelled rows, as the rules before have taken bad ones
     return quality_classifier.score(docs, model, keep=COLUMNS).filter("predicted = 1").select(*COLUMNS)
@@ -31,7 +33,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document of smallest id of each class of near copies."""
     from quern.llm import minhash
 
-    found = minhash.classes(docs)
+    ship(spark)
+    found = shared.settle(minhash.classes(docs), "classes")
     kept = found.filter("is_representative").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     left = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(text) == F.col("_md5")), "left_semi")
@@ -43,6 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeat, cut or drop documents so that each source has its target of words."""
     from quern.llm import mixing
 
+    ship(spark)
     return mixing.mixed_texts(docs, keep=COLUMNS).select(*COLUMNS)
 
 
@@ -51,6 +55,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quern.llm import bpe
     from quern.llm.queries import bpe_digests
 
+    ship(spark)
     return bpe_digests(bpe.decode(bpe.encode(docs)))
 
 

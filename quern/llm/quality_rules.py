@@ -15,9 +15,8 @@ read.  Without trusted documents, or with an empty corpus, every ratio is 0.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
@@ -50,16 +49,6 @@ def repeated_words(h: str = "_h") -> str:
     return _let("v", windows, f"if(size(array_distinct(v)) = size(v), 0L, {found})")
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _words (word array), _h (their hashes), _codes (short ones), _n (their number)."""
-    return (
-        docs.withColumn("_words", F.expr(words_of(f"`{text_col}`")))
-        .withColumn("_h", F.expr("transform(_words, w -> xxhash64(w))"))
-        .withColumn("_n", F.size("_h").cast("long"))
-        .withColumn("_codes", F.expr(codes()))
-    )
-
-
 def codes(words: str = "_words") -> str:
     """SQL: a 16-bit hash of each word."""
     return f"transform({words}, w -> cast(pmod(xxhash64(w), 65536L) - 32768 as smallint))"
@@ -90,28 +79,30 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     return [round(UNIT * (math.log(t + ALPHA) - math.log(r + ALPHA) + shift)) for r, t in zip(raw, target, strict=True)]
 
 
-def ratio(of: list[int]) -> Column:
-    """The mean weight of a document's words and pairs."""
-    table = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
-    total = F.aggregate(F.expr(grams()), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b))
-    return F.when(F.col("_n") > 0, total / (F.lit(UNIT) * (2 * F.col("_n") - 1))).otherwise(F.lit(0.0))
+def summary(text: str, of: list[int]) -> str:
+    """SQL: an array of one struct with all features of a text; every part is evaluated once."""
+    table = f"cast(split('{','.join(map(str, of))}', ',') as array<int>)"
+    total = f"aggregate({grams('c')}, 0L, (t, b) -> t + get({table}, b))"
+    lines = _let("a", rf"filter(split(coalesce({text}, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')", "cast(size(a) - size(array_distinct(a)) as long)")
+    fields = {
+        "n_words": "cast(size(words) as long)",
+        "word_chars": "aggregate(words, 0L, (t, w) -> t + char_length(w))",
+        "n_symbols": f"cast(regexp_count(coalesce({text}, ''), '[#*$%&|<>]') as long)",
+        "n_dup_lines": lines,
+        "n_repeat_words": _let("h", "transform(words, w -> xxhash64(w))", repeated_words("h")),
+        "llr": f"if(size(words) = 0, 0D, {_let('c', codes('words'), total)} / ({UNIT}D * (2 * size(words) - 1)))",
+    }
+    return f"transform(array({words_of(text)}), words -> named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())}))"
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept; keep: columns of docs to carry."""
-    of = weights(docs, labels, id_col, text_col)
+    """id (or the columns keep), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
+
+    The features are a generator's output, through which the optimizer doesn't push filters: nothing above repeats them.
+    """
     carried = keep or (id_col,)
-    slim = docs.select(*carried, *({text_col} - {*carried}))
-    lines = _let("a", rf"filter(split(coalesce(`{text_col}`, ''), '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')", "cast(size(a) - size(array_distinct(a)) as long)")
-    found = features(slim, text_col).select(
-        *carried,
-        F.col("_n").alias("n_words"),
-        F.expr("aggregate(_words, 0L, (t, w) -> t + char_length(w))").alias("word_chars"),
-        F.expr(f"cast(regexp_count(coalesce(`{text_col}`, ''), '[#*$%&|<>]') as long)").alias("n_symbols"),
-        F.expr(lines).alias("n_dup_lines"),
-        F.expr(repeated_words()).alias("n_repeat_words"),
-        ratio(of).alias("llr"),
-    )
-    failed = reduce(Column.__or__, [F.col("n_words") < MIN_WORDS, 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")])
-    judged = found.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    own = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)), F.col(text_col).alias("_text"))
+    found = own.select(*(f"_c{i}" for i in range(len(carried))), F.expr(f"inline({summary('_text', weights(docs, labels, id_col, text_col))})"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    judged = found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return judged.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(carried)), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
