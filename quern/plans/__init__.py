@@ -1 +1,6 @@
-"""Whole queries composed of operators."""
+"""Whole queries composed of operators, and their registry."""
+
+from quern.plans import text_queries  # noqa: F401
+from quern.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
