@@ -5,10 +5,14 @@ frequencies are counted over the whole corpus in DF_BUCKETS hashed counters, so
 whatever the corpus; idf is ln((1 + S) / (1 + df)) / ln(1 + S), S being the sum of all counters.  SAMPLES consistent
 weighted samples (two texts share a sample with the probability of their weighted Jaccard similarity) make BANDS bands.
 
-Texts that are equal are one node from the start.  Nodes that share a band with others are verified, by the weighted
-Jaccard similarity of their whole texts, against the band's first node; a node that isn't similar to it is held against
-all others of that band whose samples agree well enough, so that no band hides a link and large bands of true copies cost
-one comparison a node.  Classes are the connected components of verified links.  Two texts of similarity 0.8 share no band
+Texts that are equal are one node from the start.  Links are verified by the weighted Jaccard similarity of whole texts.
+In a band of up to BIG nodes, each is held against the first, and one that isn't similar to it against all others.  A
+larger band is a crowd of variants of one text: the shingles that half of it has are that text, and the HEADS nodes that
+lie closest to it stand for the crowd.  Each node is held against them: a variant's changes are its own, so what isn't
+similar to the text itself isn't similar to its other variants, unless the two share changes; so a node without a link is
+also held against those that share with it a sample that few nodes (RARE) have.  So comparisons grow with the nodes, not
+with the square of a crowd.  Pairs whose samples agree too little for SIMILARITY aren't held against each other in full.
+Classes are the connected components of verified links.  Two texts of similarity 0.8 share no band
 with probability (1 - 0.8 ** 4) ** 16 = 0.0002.
 
 Defined results: every row gets a class, named by the smallest id in it; texts without words, null ones among them, are
@@ -26,14 +30,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import components, shared
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Agreeing samples below which a pair of SIMILARITY is out of reach (six standard deviations).
-AGREE = 32
+#: Agreeing samples below which a pair of SIMILARITY is out of reach (four standard deviations).
+AGREE = 38
+#: Members over which a band is large; heads of a large band; holders up to which a sample is rare.
+BIG, HEADS, RARE = 32, 4, 32
 DF_BUCKETS = 1 << 18
 _SHARE = 4096  # counters in one row of the count
 _CHUNK = 1 << 15  # shingles that are sampled together
@@ -180,6 +187,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return shared.settle(second.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"), "links")
 
 
+def _heads(large: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(band, head): the HEADS nodes of each large band that lie closest to what its crowd has in common."""
+    crowd = shared.settle(large.groupBy("node").agg(F.max(F.struct("n", "band"))["band"].alias("crowd")), "crowds")
+    own = shared.settle(crowd.join(texts, "node"), "crowd-texts")
+    half = crowd.groupBy("crowd").agg((F.count("*") / 2).alias("half"))
+
+    def count(batches):
+        for b in batches:
+            by: dict[int, list] = {}
+            for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by.setdefault(g, []).append(shingles(text)[0])
+            for g, sets in by.items():
+                x, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g)), pa.array(x.view(np.int64)), pa.array(n)], names=["crowd", "shingle", "c"])
+
+    counts = own.select("crowd", "text").mapInArrow(count, "crowd long, shingle long, c long").groupBy("crowd", "shingle").agg(F.sum("c").alias("c"))
+    common = counts.join(half, "crowd").filter("c >= half").groupBy("crowd").agg(F.collect_list("shingle").alias("common"))  # twice a text's shingles at most
+
+    def closeness(batches):
+        last, held = None, None
+        for b in batches:
+            share = []
+            for g, text, common_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if g != last:
+                    last, held = g, np.sort(np.asarray(common_.values).view(np.uint64))
+                x, w = weights(text, idf.value)
+                share.append(float(w[np.isin(x, held, assume_unique=True)].sum() / w.sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share)], names=["node", "share"])
+
+    close = own.join(shared.settle(common, "common"), "crowd").select("node", "crowd", "text", "common").mapInArrow(closeness, "node binary, share double")
+    ranked = large.select("band", "node").join(shared.settle(close, "closeness"), "node").withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("share"), "node")))
+    return ranked.filter(F.col("r") <= HEADS).select("band", F.col("node").alias("head"))
+
+
+def _by_rare_samples(large: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, y): nodes of large bands without a link, and those that share a rare sample with them."""
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    own = large.select("node").distinct()
+    sampled = own.join(nodes.select("node", "samples"), "node").select("node", F.posexplode(F.expr(f"transform(sequence(0, {SAMPLES - 1}), k -> substring(samples, 4 * k + 1, 4))")).alias("k", "v"))
+    rare = shared.settle(sampled.groupBy("k", "v").agg(F.count("*").alias("c")).filter(f"c between 2 and {RARE}").select("k", "v"), "rare")
+    holders = shared.settle(sampled.join(rare, ["k", "v"]), "holders")
+    lone = holders.join(linked, "node", "left_anti").select("k", "v", F.col("node").alias("x"))
+    return lone.join(holders.select("k", "v", F.col("node").alias("y")), ["k", "v"]).filter("x <> y").select("x", "y")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, class_id, is_representative, text_md5 of every row."""
     spark = docs.sparkSession
@@ -190,27 +242,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     bands = F.array(*(F.xxhash64(F.substring("samples", 4 * ROWS * k + 1, 4 * ROWS), F.lit(k)) for k in range(BANDS)))
     members = nodes.filter("samples is not null").select("node", F.explode(bands).alias("band"))
-    shared_bands = shared.settle(members.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("band", "pivot"), "bands")
-    in_bands = shared.settle(members.join(shared_bands, "band").filter("node <> pivot"), "in-bands")  # band, node, pivot
+    shared_bands = shared.settle(members.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "bands")
+    in_bands = shared.settle(members.join(shared_bands, "band"), "in-bands")  # band, node, pivot, n
 
-    pairs = shared.settle(in_bands.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = wanted.join(nodes.select("node", "first_id"), "node").withColumnRenamed("node", "chosen")
+    wanted = in_bands.select("node").distinct().join(nodes.select("node", "first_id"), "node").withColumnRenamed("node", "chosen")
     keyed = texts.select(F.unhex(F.md5("_text")).alias("node"), "_id", F.col("_text").alias("text"))
-    found = shared.settle(keyed.join(chosen, (F.col("node") == F.col("chosen")) & F.col("_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"]), "texts")
-    links = _verified(pairs, found, idf)
-
-    missed = in_bands.join(links, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left_anti").select("band", "node", "pivot")
-    rest = shared.settle(missed, "unlike-first")
-    if not rest.isEmpty():
-        samples = nodes.select(F.col("node").alias("n"), "samples")
-        x = shared.settle(rest.join(samples, F.col("node") == F.col("n")).select("band", F.col("node").alias("x"), F.col("samples").alias("sx")), "rest-x")
-        others = in_bands.join(rest.select("band").distinct(), "band", "left_semi").join(samples, F.col("node") == F.col("n"))
-        y = shared.settle(others.select("band", F.col("node").alias("y"), F.col("samples").alias("sy")), "rest-y")
-        agree = F.expr(f"aggregate(sequence(0, {SAMPLES - 1}), 0, (t, k) -> t + if(substring(sx, 4 * k + 1, 4) = substring(sy, 4 * k + 1, 4), 1, 0)) >= {AGREE}")
-        near = x.join(y, (x["band"] == y["band"]) & (F.col("x") != F.col("y")) & agree)
-        more = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = shared.settle(links.unionByName(_verified(shared.settle(more, "rest-pairs"), found, idf)), "all-links")
+    found = shared.settle(keyed.join(wanted, (F.col("node") == F.col("chosen")) & F.col("_id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    small, large = in_bands.filter(F.col("n") <= BIG), in_bands.filter(F.col("n") > BIG)
+    pairs = small.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    crowded = not large.isEmpty()
+    if crowded:
+        heads = shared.settle(_heads(large, found, idf), "heads")
+        held = shared.settle(large.select("band", "node").join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "held")
+        pairs = pairs.unionByName(held)
+    links = _verified(shared.settle(pairs.distinct(), "pairs"), found, idf)
+
+    samples = nodes.select(F.col("node").alias("n"), "samples")
+    missed = small.filter("node <> pivot").join(links, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left_anti")
+    rest = shared.settle(missed.select("band", F.col("node").alias("x")), "unlike-first")
+    more = rest.join(small.select("band", F.col("node").alias("y"), "pivot"), "band").filter("x <> y and y <> pivot").select("x", "y")
+    if crowded:
+        more = more.unionByName(_by_rare_samples(large, links, nodes))
+    ordered = more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    both = ordered.join(samples.withColumnsRenamed({"n": "x", "samples": "sx"}), "x").join(samples.withColumnsRenamed({"n": "y", "samples": "sy"}), "y")
+    agree = F.expr(f"aggregate(sequence(0, {SAMPLES - 1}), 0, (t, k) -> t + if(substring(sx, 4 * k + 1, 4) = substring(sy, 4 * k + 1, 4), 1, 0)) >= {AGREE}")
+    near = shared.settle(both.filter(agree).select(F.col("x").alias("a"), F.col("y").alias("b")), "rest-pairs")
+    links = shared.settle(links.unionByName(_verified(near, found, idf)), "all-links")
 
     names = nodes.select("node", "first_id")
     if not links.isEmpty():
