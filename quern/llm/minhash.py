@@ -202,7 +202,8 @@ def _heads(large: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 x, n = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g)), pa.array(x.view(np.int64)), pa.array(n)], names=["crowd", "shingle", "c"])
 
-    counts = own.select("crowd", "text").mapInArrow(count, "crowd long, shingle long, c long").groupBy("crowd", "shingle").agg(F.sum("c").alias("c"))
+    spread = own.select("node", "crowd", "text").repartition(shared.partitions(large.sparkSession), "node").select("crowd", "text")  # evenly, whatever files a crowd lies in
+    counts = spread.mapInArrow(count, "crowd long, shingle long, c long").groupBy("crowd", "shingle").agg(F.sum("c").alias("c"))
     common = counts.join(half, "crowd").filter("c >= half").groupBy("crowd").agg(F.collect_list("shingle").alias("common"))  # twice a text's shingles at most
 
     def closeness(batches):
