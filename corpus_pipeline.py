@@ -56,7 +56,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from quern.llm.queries import bpe_digests
 
     ship(spark)
-    return bpe_digests(bpe.decode(bpe.encode(docs)))
+    return bpe_digests(bpe.round_trip(docs))
 
 
 STAGES = [

@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import re
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 import tiktoken
@@ -53,7 +53,7 @@ class Codec:
     """Encoder and decoder for one vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -68,9 +68,14 @@ class Codec:
             order = [model["vocab"][a + b] for a, b in merges]
             self.byte_level = order == sorted(order)  # ids must rise with the merges to serve as ranks
             self.core = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.bytes_of = {i: b for b, i in ranks.items()}
+            self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, loaded when a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -124,7 +129,9 @@ class Codec:
             k *= 2
 
     def decode(self, ids) -> str:
-        return self.library.decode(list(ids), skip_special_tokens=False)
+        if not self.byte_level:
+            return self.library.decode(list(ids), skip_special_tokens=False)
+        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=4)
@@ -156,14 +163,29 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "id
         for b in batches:
             at = b.schema.get_field_index(ids_col)
             for part in _slices(b):
-                texts = c.library.decode_batch([x or [] for x in part.column(at).to_pylist()], skip_special_tokens=False)
+                texts = [c.decode(x or []) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, to_col])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
     return encoded.mapInArrow(run, f"{kinds}, `{to_col}` string")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500):
+def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded) of every row: encode() and decode() in one worker."""
+    path = vocabulary or default_vocabulary()
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            for part in _slices(b):
+                ids = [c.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
+
+    slim = docs.select(F.col(id_col), F.col(text_col))
+    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, ids array<int>, decoded string")
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 200):
     """A batch in short runs, as Python's integers take many times the room of Arrow's."""
     for at in range(0, max(1, batch.num_rows), rows):
         yield batch.slice(at, rows)

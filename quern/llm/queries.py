@@ -21,7 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm import bpe
 
-    return bpe_digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"))))
+    return bpe_digests(bpe.round_trip(_table(spark, sf_dir, "documents")))
 
 
 def bpe_digests(encoded: DataFrame) -> DataFrame:

@@ -44,3 +44,11 @@ def test_frames(spark):
     assert sorted((r.decoded for r in got)) == sorted(t or "" for _, t in rows)
     assert len(got) == len(rows)
     assert bpe.encode(docs.limit(0)).count() == 0
+    both = bpe.round_trip(docs).select("ids", "decoded")
+    assert sorted(map(str, both.collect())) == sorted(map(str, bpe.decode(bpe.encode(docs)).select("ids", "decoded").collect()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 50256), max_size=12))
+def test_any_ids(codec, ids):
+    assert codec.decode(ids) == codec.library.decode(ids, skip_special_tokens=False)
