@@ -1,7 +1,8 @@
 """Quality rules in DataFrame expressions alone: repetition and length rules, then a likelihood ratio.
 
 Each document's words are hashed to 16-bit codes, and codes and neighbouring pairs of them to BUCKETS; trusted documents (labelled quality 1) and the
-whole corpus each give a multinomial over the buckets, smoothed by ALPHA.  A document's log-likelihood ratio between the
+whole corpus each give a multinomial over the buckets.  Both are smoothed by ALPHA words a bucket, so that a bucket that
+few texts have tells little, and a clean text isn't judged by whether its own rare words were labelled.  A document's log-likelihood ratio between the
 two, divided by its number of words and pairs, is held against THRESHOLD: every document gets a verdict, with no
 sampling and no random draw.  The bucket weights are the one thing that reaches the driver: BUCKETS numbers, whatever
 the corpus.  To be marked as trusted, documents meet their labels as codes, two bytes a word, not as texts; labels grow
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-ALPHA = 0.5
+#: Words added to each bucket's count in the target, and as many for their share in the corpus.
+ALPHA = 10.0
 #: Mean log-likelihood ratio a word or pair below which a document goes.
 THRESHOLD = -0.12
 #: Weights are carried as integers of this part of a unit, so that sums don't depend on their order.
@@ -75,8 +77,7 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     n_raw, n_target = sum(raw), sum(target)
     if not n_target:
         return [0] * BUCKETS
-    shift = math.log(n_raw + ALPHA * BUCKETS) - math.log(n_target + ALPHA * BUCKETS)
-    return [round(UNIT * (math.log(t + ALPHA) - math.log(r + ALPHA) + shift)) for r, t in zip(raw, target, strict=True)]
+    return [round(UNIT * (math.log(t + ALPHA) - math.log(r * n_target / n_raw + ALPHA))) for r, t in zip(raw, target, strict=True)]
 
 
 def summary(text: str, of: list[int]) -> str:
