@@ -94,7 +94,7 @@ def faq_match(entries: DataFrame, queries: DataFrame, k: int, boost: float = 1.2
     return best(c.filter(~barred).select("query_id", "chunk_id", score.alias("score")), k)
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, lexical_weight: float = 0.3, digits: int = 6) -> DataFrame:
+def hybrid(lexical: DataFrame, semantic: DataFrame, k: int, lexical_weight: float = 0.3, digits: int = 7) -> DataFrame:
     """Two rankings combined by a full outer join: 0.3 of the lexical score and 0.7 of the vector score."""
     a = lexical.select("query_id", "chunk_id", F.col("score").alias("a"))
     b = semantic.select("query_id", "chunk_id", F.col("score").alias("b"))

@@ -132,7 +132,7 @@ def _bench_vectors(spark, d):
 
 @query(
     "summary_hybrid",
-    f"""WITH {_FTS}, {_vec_sql(_BENCH_VEC, k=20)}, h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(0.3 * coalesce(a.score, 0) + 0.7 * coalesce(b.score, 0), 6) AS score FROM fts a FULL JOIN vec b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
+    f"""WITH {_FTS}, {_vec_sql(_BENCH_VEC, k=20)}, h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(0.3 * coalesce(a.score, 0) + 0.7 * coalesce(b.score, 0), 7) AS score FROM fts a FULL JOIN vec b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)
 SELECT query_id, chunk_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h) WHERE rank <= 20""",
 )
 def summary_hybrid(spark, d):
