@@ -219,14 +219,20 @@ def _heads(large: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
     close = own.join(shared.settle(common, "common"), "crowd").select("node", "crowd", "text", "common").mapInArrow(closeness, "node binary, share double")
     ranked = large.select("band", "node").join(shared.settle(close, "closeness"), "node").withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("share"), "node")))
-    return ranked.filter(F.col("r") <= HEADS).select("band", F.col("node").alias("head"))
+    return ranked.filter(F.col("r") <= HEADS).select("band", F.col("node").alias("head"), "r")
 
 
-def _by_rare_samples(large: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(x, y): nodes of large bands without a link, and those that share a rare sample with them."""
+def _by_rare_samples(large: DataFrame, heads: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, y): nodes of large bands without a link, and those that share a rare sample with them.
+
+    A sample that a node shares with its crowd's first head is the crowd's, and isn't looked at: the head stands for it.
+    """
     linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    own = large.select("node").distinct()
-    sampled = own.join(nodes.select("node", "samples"), "node").select("node", F.posexplode(F.expr(f"transform(sequence(0, {SAMPLES - 1}), k -> substring(samples, 4 * k + 1, 4))")).alias("k", "v"))
+    crowd = large.groupBy("node").agg(F.max(F.struct("n", "band"))["band"].alias("band"))
+    first = heads.filter("r = 1").join(nodes.select(F.col("node").alias("head"), F.col("samples").alias("hs")), "head").select("band", "hs")
+    own = shared.settle(crowd.join(first, "band").join(nodes.select("node", "samples"), "node").select("node", "samples", "hs"), "crowd-samples")
+    other = f"filter(transform(sequence(0, {SAMPLES - 1}), k -> if(substring(samples, 4 * k + 1, 4) = substring(hs, 4 * k + 1, 4), null, struct(k as k, substring(samples, 4 * k + 1, 4) as v))), e -> e is not null)"
+    sampled = own.select("node", F.explode(F.expr(other)).alias("e")).select("node", "e.k", "e.v")
     rare = shared.settle(sampled.groupBy("k", "v").agg(F.count("*").alias("c")).filter(f"c between 2 and {RARE}").select("k", "v"), "rare")
     holders = shared.settle(sampled.join(rare, ["k", "v"]), "holders")
     lone = holders.join(linked, "node", "left_anti").select("k", "v", F.col("node").alias("x"))
@@ -264,7 +270,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rest = shared.settle(missed.select("band", F.col("node").alias("x")), "unlike-first")
     more = rest.join(small.select("band", F.col("node").alias("y"), "pivot"), "band").filter("x <> y and y <> pivot").select("x", "y")
     if crowded:
-        more = more.unionByName(_by_rare_samples(large, links, nodes))
+        more = more.unionByName(_by_rare_samples(large, heads, links, nodes))
     ordered = more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     both = ordered.join(samples.withColumnsRenamed({"n": "x", "samples": "sx"}), "x").join(samples.withColumnsRenamed({"n": "y", "samples": "sy"}), "y")
     agree = F.expr(f"aggregate(sequence(0, {SAMPLES - 1}), 0, (t, k) -> t + if(substring(sx, 4 * k + 1, 4) = substring(sy, 4 * k + 1, 4), 1, 0)) >= {AGREE}")
