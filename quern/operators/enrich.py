@@ -90,11 +90,10 @@ def compose_image(ocr: Column, caption: Column) -> Column:
 
 def hashed_vectors(chunks: DataFrame, dim: int = 64) -> DataFrame:
     """chunk_id, embedding: hashed token counts of unit length, where no model is given; native, blank chunks left out."""
-    bucket = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = chunks.filter("size(tokens) > 0").select("chunk_id", bucket.alias("b"))
-    raw = counts.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("_n", norm).select("chunk_id", F.transform("v", lambda x: x / F.col("_n")).alias("embedding"))
+    tokens = chunks.select("chunk_id", F.explode("tokens").alias("t"))
+    counts = tokens.groupBy("chunk_id", F.pmod(F.xxhash64("t"), F.lit(dim)).cast("int").alias("b")).agg(F.count("*").cast("double").alias("c"))
+    filled = counts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
+    return filled.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("n")).alias("embedding"))
 
 
 def assign_centroids(vectors: DataFrame, centroids: DataFrame, digits: int = 9) -> DataFrame:

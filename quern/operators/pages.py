@@ -48,3 +48,45 @@ def reading_columns(boxes: DataFrame, page: str = "page_id", gap: float = 12.0)
     w = Window.partitionBy(page).orderBy("x0", "x1")
     before = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     return boxes.withColumn("_new", F.coalesce(F.col("x0") - before > gap, F.lit(False)).cast("int")).withColumn("column_no", F.sum("_new").over(w)).drop("_new")
+
+
+def merge_table_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
+    """doc, page, text: neighbouring pages joined while a table runs over their boundary, under the first one's number."""
+    filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    row = lambda x: F.coalesce(x.rlike(r"^\s*\|.*\|\s*$"), F.lit(False))
+    w = Window.partitionBy(doc).orderBy(page)
+    marked = pages.withColumn("_f", filled).withColumn("_starts", row(F.get("_f", F.lit(0)))).withColumn("_ends", row(F.get("_f", F.size("_f") - 1)))
+    new = ~(F.col("_starts") & F.coalesce(F.lag("_ends").over(w), F.lit(False)))
+    runs = marked.withColumn("_run", F.sum(new.cast("int")).over(w))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
+    return runs.groupBy(doc, "_run").agg(F.min(page).alias(page), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias(text)).drop("_run")
+
+
+#: What is left of charts in extracted text: bare numbers, scales, layers and error axes.
+DEBRIS = r"(?i)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?|\d+-layer|iter\.\s*\(1e\d\)|(?:training |test )?error\s*\(%\))\s*$"
+
+
+def strip_chart_debris(lines: DataFrame, doc: str = "doc_id", place: str = "line_no", line: str = "line", least: int = 3) -> DataFrame:
+    """lines without runs of at least that many debris or blank lines that begin with a debris line."""
+    w = Window.partitionBy(doc).orderBy(place)
+    marked = lines.withColumn("_d", F.col(line).rlike(DEBRIS)).withColumn("_b", F.trim(line) == "").withColumn("_in", F.col("_d") | F.col("_b"))
+    runs = marked.withColumn("_run", F.sum((~(F.col("_in") & F.coalesce(F.lag("_in").over(w), F.lit(False)))).cast("int")).over(w))
+    g = Window.partitionBy(doc, "_run").orderBy(place)
+    started = runs.withColumn("_seen", F.max(F.col("_d").cast("int")).over(g))  # blank lines before a run's first debris stay
+    sized = started.withColumn("_n", F.sum(F.col("_seen")).over(Window.partitionBy(doc, "_run")))
+    return sized.filter(~(F.col("_in") & (F.col("_seen") == 1) & (F.col("_n") >= least))).select(*lines.columns)
+
+
+def outside_boxes(points: DataFrame, boxes: DataFrame, page: str = "page_id") -> DataFrame:
+    """points (page, x, y) that lie in no box (page, x0, y0, x1, y1) of their page."""
+    inside = (F.col("b.x0") <= F.col("p.x")) & (F.col("p.x") <= F.col("b.x1")) & (F.col("b.y0") <= F.col("p.y")) & (F.col("p.y") <= F.col("b.y1"))
+    return points.alias("p").join(boxes.alias("b"), (F.col(f"p.{page}") == F.col(f"b.{page}")) & inside, "left_anti")
+
+
+def model_limits(models: DataFrame, patterns: DataFrame, ratio: float = 0.75, default: int = 8192, least: int = 512) -> DataFrame:
+    """model, max_tokens: by exact name, else the longest pattern with * that fits, else the default; patterns are a short list."""
+    p = patterns.select("pattern", "context")
+    like = F.expr("model like replace(pattern, '*', '%')")
+    found = models.join(F.broadcast(p), like, "left")  # a registry of models
+    best = found.groupBy("model").agg(F.max_by("context", F.struct(F.col("pattern") == F.col("model"), F.char_length("pattern"), "pattern")).alias("context"))
+    return best.select("model", F.greatest(F.lit(least), F.floor(F.coalesce("context", F.lit(default)) * ratio).cast("int")).alias("max_tokens"))
