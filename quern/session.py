@@ -9,14 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-#: Rows and bytes of text that reach a Python worker together; two workers and a JVM share an executor's memory.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+#: Rows read, and rows and bytes of text that reach a Python worker, together; two workers and a JVM share an executor's
+#: memory, and texts are long rows.
+BATCH = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once a session: they need not have it installed or share the driver's folder.
 
-    Arrow batches are made smaller where the session has Spark's defaults.
+    Batches are made smaller where the session has Spark's defaults.
     """
     for key, (default, small) in BATCH.items():
         if spark.conf.get(key, default) == default:
