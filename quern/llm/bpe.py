@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quern.llm import shared
+
 #: Bytes of an unsplit text that one call encodes.
 LEAF = 4096
 #: Fixed value: the public pattern of byte-level vocabularies that splits text before merges.
@@ -180,6 +182,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
             for part in _slices(b):
                 ids = [c.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
+        shared.trim()
 
     slim = docs.select(F.col(id_col), F.col(text_col))
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, ids array<int>, decoded string")

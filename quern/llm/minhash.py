@@ -118,6 +118,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                 found = [shingles(t)[0] for t in b.column(0).slice(at, 256).to_pylist()]
                 total += np.bincount(_bucket(np.concatenate(found)), minlength=DF_BUCKETS)
         parts = total.reshape(-1, _SHARE)
+        shared.trim()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([shared.pack_counts(p) for p in parts], pa.binary())], names=["part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -159,6 +160,7 @@ def _signed(texts: DataFrame, idf) -> DataFrame:
                 if held:
                     _place(out, held)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["id", "node", "samples"])
+        shared.trim()
 
     return texts.select("_id", F.unhex(F.md5("_text")).alias("node"), "_text").mapInArrow(run, f"id {kind}, node binary, samples binary")
 
@@ -181,6 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 if similarity(weights(tx, idf.value), known) >= SIMILARITY - 1e-9:
                     keep.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keep], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        shared.trim()
 
     first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     second = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")

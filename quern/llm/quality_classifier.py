@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import shared
+
 #: Bounds of the sample that is learnt from, and the fewest texts of a class that make a dictionary.
 PER_CLASS, SAMPLE_BYTES, LEAST = 3000, 32768, 20
 DICTIONARY_BYTES, LEVEL, RUN, STEADY = 1 << 17, 3, 512, 200
@@ -115,6 +117,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x = np.array([sizes.evidence(t) if sizes else (0.0, 0.0) for t in b.column(len(carried)).to_pylist()], float).reshape(-1, 2)
             z = np.clip(model.slope * x[:, 0] + model.neutral * x[:, 1] + model.prior, -30, 30)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-z)))], names=[*b.schema.names[:-1], "score"])
+        shared.trim()
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried))
     scored = slim.mapInArrow(run, f"{kinds}, score double")
