@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors that one block holds.
-BLOCK = 512
+#: Query vectors, and candidate rows, that one block holds.
+BLOCK, ROWS = 512, 2048
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -32,8 +32,8 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     blocks = q.withColumn("block", F.expr(f"pmod(xxhash64(query_id), {n})")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query_id", "s", "v"))).alias("qs"))
     rows = vectors.filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("v"), scope.alias("s"))
-    parts = max(1, min(64, n * 4))
-    packed = rows.groupBy(F.expr(f"pmod(xxhash64(chunk_id), {parts})").alias("part"), F.expr("pmod(xxhash64(chunk_id, 7), 16)").alias("sub")).agg(F.collect_list(F.struct("chunk_id", "s", "v")).alias("cs"))
+    parts = max(1, math.ceil(rows.count() / ROWS))
+    packed = rows.groupBy(F.expr(f"pmod(xxhash64(chunk_id), {parts})").alias("part")).agg(F.collect_list(F.struct("chunk_id", "s", "v")).alias("cs"))
     pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, "block")
 
     def score(frames):
