@@ -202,8 +202,9 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def names_alike(a: Column, b: Column) -> Column:
-    """Names that may be one entity: equal; for CJK names substring or shared characters; else three edits at most."""
-    cjk = a.rlike("[一-鿿]") & b.rlike("[一-鿿]")
+    """Names that may be one entity: equal; both CJK and one within the other or of like characters; neither CJK and three
+    edits apart at most."""
+    ca, cb = a.rlike("[一-鿿]"), b.rlike("[一-鿿]")
     shared = F.contains(a, b) | F.contains(b, a) | (jaccard(F.split(a, ""), F.split(b, "")) >= 0.7)
     near = F.levenshtein(F.lower(a), F.lower(b), 3)
-    return (a == b) | F.when(cjk, shared).otherwise(near >= 0)
+    return (a == b) | F.when(ca & cb, shared).when(ca | cb, F.lit(False)).otherwise(near >= 0)
