@@ -4,43 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from quern.storage import drop_table, new_dir, settle, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call has."""
-    return f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a settled table that nothing will read again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["drop_table", "new_dir", "pack", "pack_counts", "pack_sorted", "partitions", "settle", "shared_dir", "trim", "unpack", "unpack_counts", "unpack_sorted"]
 
 
 def trim() -> None:
