@@ -6,12 +6,11 @@ whatever the corpus; idf is ln((1 + S) / (1 + df)) / ln(1 + S), S being the sum
 weighted samples (two texts share a sample with the probability of their weighted Jaccard similarity) make BANDS bands.
 
 Texts that are equal are one node from the start.  Links are verified by the weighted Jaccard similarity of whole texts.
-In a band of up to BIG nodes, each is held against the first, and one that isn't similar to it against all others.  A
-larger band is a crowd of variants of one text: the shingles that half of it has are that text, and the HEADS nodes that
-lie closest to it stand for the crowd.  Each node is held against them: a variant's changes are its own, so what isn't
-similar to the text itself isn't similar to its other variants, unless the two share changes; so a node without a link is
-also held against those that share with it a sample that few nodes (RARE) have.  So comparisons grow with the nodes, not
-with the square of a crowd.  Pairs whose samples agree too little for SIMILARITY aren't held against each other in full.
+In a band of up to BIG nodes, each is held against the first, and one that isn't similar to it against all others, but
+for pairs whose samples agree too little for SIMILARITY.  A larger band is mostly a crowd of variants of one text: the
+shingles that half of it has are that text, and each node is held against the HEADS nodes that lie closest to it.  What
+is then not in the largest class of its band is held against the whole band, in blocks of nodes that are compared as
+matrices, so that no pair of a band is left out; that grows with the nodes outside the largest class times the band.
 Classes are the connected components of verified links.  Two texts of similarity 0.8 share no band
 with probability (1 - 0.8 ** 4) ** 16 = 0.0002.
 
@@ -39,8 +38,10 @@ BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Agreeing samples below which a pair of SIMILARITY is out of reach (four standard deviations).
 AGREE = 38
-#: Members over which a band is large; heads of a large band; holders up to which a sample is rare.
-BIG, HEADS, RARE = 32, 4, 32
+#: Members over which a band is large; heads of a large band.
+BIG, HEADS = 32, 4
+#: Nodes and characters in one block of a large band (as expected from an even deal).
+BLOCK, BLOCK_CHARS = 1024, 1 << 22
 DF_BUCKETS = 1 << 18
 _SHARE = 4096  # counters in one row of the count
 _CHUNK = 1 << 15  # shingles that are sampled together
@@ -222,24 +223,107 @@ def _heads(large: DataFrame, texts: DataFrame, idf) -> DataFrame:
 
     close = own.join(shared.settle(common, "common"), "crowd").select("node", "crowd", "text", "common").mapInArrow(closeness, "node binary, share double")
     ranked = large.select("band", "node").join(shared.settle(close, "closeness"), "node").withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("share"), "node")))
-    return ranked.filter(F.col("r") <= HEADS).select("band", F.col("node").alias("head"), "r")
+    return ranked.filter(F.col("r") <= HEADS).select("band", F.col("node").alias("head"))
 
 
-def _by_rare_samples(large: DataFrame, heads: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(x, y): nodes of large bands without a link, and those that share a rare sample with them.
+def _occurrences(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the text, name and weight of every shingle's every occurrence, by name; and the texts' whole weights.
 
-    A sample that a node shares with its crowd's first head is the crowd's, and isn't looked at: the head stands for it.
+    The second occurrence in one text is named apart from the first, so what two texts have in common is a sum over names.
     """
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    crowd = large.groupBy("node").agg(F.max(F.struct("n", "band"))["band"].alias("band"))
-    first = heads.filter("r = 1").join(nodes.select(F.col("node").alias("head"), F.col("samples").alias("hs")), "head").select("band", "hs")
-    own = shared.settle(crowd.join(first, "band").join(nodes.select("node", "samples"), "node").select("node", "samples", "hs"), "crowd-samples")
-    other = f"filter(transform(sequence(0, {SAMPLES - 1}), k -> if(substring(samples, 4 * k + 1, 4) = substring(hs, 4 * k + 1, 4), null, struct(k as k, substring(samples, 4 * k + 1, 4) as v))), e -> e is not null)"
-    sampled = own.select("node", F.explode(F.expr(other)).alias("e")).select("node", "e.k", "e.v")
-    rare = shared.settle(sampled.groupBy("k", "v").agg(F.count("*").alias("c")).filter(f"c between 2 and {RARE}").select("k", "v"), "rare")
-    holders = shared.settle(sampled.join(rare, ["k", "v"]), "holders")
-    lone = holders.join(linked, "node", "left_anti").select("k", "v", F.col("node").alias("x"))
-    return lone.join(holders.select("k", "v", F.col("node").alias("y")), ["k", "v"]).filter("x <> y").select("x", "y")
+    rows, names, weight, whole = [], [], [], np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        x, times = shingles(text)
+        w = idf[_bucket(x)]
+        whole[i] = (times * w).sum()
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        rows.append(np.full(len(nth), i))
+        names.append(np.where(nth == 0, np.repeat(x, times), _mix(np.repeat(x, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        weight.append(np.repeat(w, times))
+    rows_, names_, weight_ = (np.concatenate(c) for c in (rows, names, weight))
+    order = np.argsort(names_, kind="stable")
+    return rows_[order], names_[order], weight_[order], whole
+
+
+def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of each left text with each right one; both lists and all texts have words."""
+    i, x, w, whole = _occurrences(left, idf)
+    j, y, _, others = _occurrences(right, idf)
+    names, at, n = np.unique(x, return_index=True, return_counts=True)
+    start = np.searchsorted(y, names)
+    m = np.searchsorted(y, names, "right") - start
+    at, n, start, m, w = at[m > 0], n[m > 0], start[m > 0], m[m > 0], w[at[m > 0]]
+    common = np.zeros((len(left), len(right)))
+    dense = n * m * 256 > common.size
+    for some in np.array_split(np.flatnonzero(dense), int(dense.sum()) // 2048 + 1):  # names that many texts have: a product of matrices
+        a, b = np.zeros((len(left), len(some))), np.zeros((len(right), len(some)))
+        for k, f in enumerate(some):
+            a[i[at[f] : at[f] + n[f]], k] = w[f]
+            b[j[start[f] : start[f] + m[f]], k] = 1
+        common += a @ b.T
+    thin = np.flatnonzero(~dense)
+    parts = np.cumsum(n[thin] * m[thin]) >> 21
+    for part in np.unique(parts):  # all others: their pairs of texts, some two million at once
+        f = thin[parts == part]
+        size = n[f] * m[f]
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        one, two = np.repeat(at[f], size) + k // np.repeat(m[f], size), np.repeat(start[f], size) + k % np.repeat(m[f], size)
+        common += np.bincount(i[one] * len(right) + j[two], np.repeat(w[f], size), common.size).reshape(common.shape)
+    return common / (whole[:, None] + others - common)
+
+
+def _across(large: DataFrame, links: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """Further links (a, b) of large bands: with them, all similar nodes of a band are in one component.
+
+    In each band the nodes outside its largest component (far) are held against each other and against all others.
+    """
+    named = large.select("band", "node")
+    if links.isEmpty():
+        labelled = named.withColumn("label", F.col("node"))
+    else:
+        labelled = named.join(components.components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared.settle(labelled, "labelled-bands")
+    most = labelled.groupBy("band", "label").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "label"))["label"].alias("home"))
+    marked = shared.settle(labelled.join(most, "band").withColumn("far", F.col("label") != F.col("home")).drop("home"), "marked-bands")
+    far, chars = F.col("far"), F.col("chars")
+    sized = marked.join(texts.select("node", F.char_length("text").alias("chars")), "node").groupBy("band")
+    blocks = lambda c: F.ceil(F.greatest(F.count(F.when(c, 1)) / BLOCK, F.sum(F.when(c, chars).otherwise(0)) / BLOCK_CHARS)).cast("int")
+    dealt = shared.settle(sized.agg(blocks(far).alias("u"), blocks(~far).alias("v")).filter("u > 0"), "blocks")
+
+    # far nodes: each pair of their blocks (j >= 0), and each of their blocks with each block of the rest (j < 0)
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.when(far, F.col("u")).otherwise(F.col("v")))
+    to = F.expr(
+        "if(far, concat(transform(sequence(0, u - 1), t -> struct(least(s, t) as i, greatest(s, t) as j, s > t as second)),"
+        " if(v > 0, transform(sequence(1, v), t -> struct(s as i, -t as j, false as second)), array())),"
+        " transform(sequence(0, u - 1), t -> struct(t as i, -1 - s as j, true as second)))"
+    )
+    spread = marked.join(dealt, "band").withColumn("s", place.cast("int")).select("band", "node", "label", F.explode(to).alias("to")).select("band", "to.*", "node", "label")
+    held = spread.join(texts.select("node", "text"), "node")
+
+    def join(table: pa.Table) -> pa.Table:
+        second = table.column("second").to_numpy()
+        left = table.filter(pa.array(~second))
+        right = table.filter(pa.array(second)) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else left
+        found = []
+        if left.num_rows and right.num_rows:
+            like = similarities(left.column("text").to_pylist(), right.column("text").to_pylist(), idf.value) >= SIMILARITY - 1e-9
+            a, la, b, lb = (t.column(c).to_pylist() for t in (left, right) for c in ("node", "label"))
+            above = {x: x for x in (*la, *lb)}
+
+            def root(x):
+                while above[x] != x:
+                    above[x] = x = above[above[x]]
+                return x
+
+            for i, j in zip(*np.nonzero(like), strict=True):
+                x, y = root(la[i]), root(lb[j])
+                if x != y:
+                    above[x] = y
+                    found.append((a[i], b[j]))
+        shared.trim()
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
+
+    return shared.settle(held.groupBy("band", "i", "j").applyInArrow(join, "a binary, b binary"), "across")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,13 +356,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     missed = small.filter("node <> pivot").join(links, (F.col("node") == F.col("a")) & (F.col("pivot") == F.col("b")), "left_anti")
     rest = shared.settle(missed.select("band", F.col("node").alias("x")), "unlike-first")
     more = rest.join(small.select("band", F.col("node").alias("y"), "pivot"), "band").filter("x <> y and y <> pivot").select("x", "y")
-    if crowded:
-        more = more.unionByName(_by_rare_samples(large, heads, links, nodes))
     ordered = more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     both = ordered.join(samples.withColumnsRenamed({"n": "x", "samples": "sx"}), "x").join(samples.withColumnsRenamed({"n": "y", "samples": "sy"}), "y")
     agree = F.expr(f"aggregate(sequence(0, {SAMPLES - 1}), 0, (t, k) -> t + if(substring(sx, 4 * k + 1, 4) = substring(sy, 4 * k + 1, 4), 1, 0)) >= {AGREE}")
     near = shared.settle(both.filter(agree).select(F.col("x").alias("a"), F.col("y").alias("b")), "rest-pairs")
     links = shared.settle(links.unionByName(_verified(near, found, idf)), "all-links")
+    if crowded:
+        links = shared.settle(links.unionByName(_across(large, links, found, idf)), "links-of-crowds")
 
     names = nodes.select("node", "first_id")
     if not links.isEmpty():

@@ -57,3 +57,37 @@ def test_samples_estimate_similarity():
         agreements.append((sig[0] == sig[1]).mean())
         truth.append(m.similarity(*s))
     assert abs(np.mean(agreements) - np.mean(truth)) < 0.03
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_family_in_a_crowd(spark, monkeypatch, block):
+    """Many texts of one template, unlike each other; among them a family that drifts from copy to copy, and pairs of groups."""
+    monkeypatch.setattr(m, "BLOCK", block, raising=False)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(5000)}"
+    template = [word() for _ in range(150)]
+    rows = [" ".join(template + [word() for _ in range(35)]) for _ in range(90)]
+    tail = [word() for _ in range(60)]
+    for _ in range(90):
+        tail[r.randrange(60)] = word()
+        rows.append(" ".join(template + tail))
+    for _ in range(20):  # two groups of near copies whose tails begin alike: joined by few pairs, all within the crowd
+        alike = [word() for _ in range(4)]
+        for _ in range(2):
+            own = [word() for _ in range(12)]
+            rows += [" ".join(template + alike + own + [word()]) for _ in range(6)]
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    got = m.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute.near_classes(rows)
+    assert {x.doc_id: x.class_id for x in got} == {i: c for (i, _), c in zip(rows, want, strict=True)}
+    assert 1 < len(set(want)) < len(rows)
+
+
+def test_similarities():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcd") for _ in range(r.randrange(1, 60))) for _ in range(60)] + ["a b " * 300, "a b " * 250]
+    idf = np.random.default_rng(3).uniform(0.5, 1, m.DF_BUCKETS)
+    sets = [m.weights(t, idf) for t in texts]
+    want = np.array([[m.similarity(a, b) for b in sets] for a in sets[:30]])
+    assert np.abs(m.similarities(texts[:30], texts, idf) - want).max() < 1e-12
