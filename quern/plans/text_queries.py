@@ -319,6 +319,12 @@ def split_keep_separator(spark, d):
     return plain.select("doc_id", F.size(text.split_keep_separator(F.col("text"), ". ")).alias("parts"))
 
 
+@query("split_keep_separator_all", "SELECT doc_id, CAST(len(string_split(text, '. ')) - CASE WHEN text = '' OR starts_with(text, '. ') THEN 1 ELSE 0 END AS INTEGER) AS parts FROM documents")
+def split_keep_separator_all(spark, d):
+    """split_keep_separator over all documents."""
+    return _docs(spark, d).select("doc_id", F.size(text.split_keep_separator(F.col("text"), ". ")).alias("parts"))
+
+
 @query("layout_line_stats", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT doc_id, round(avg(length(line)), 6) AS mean_chars, round(avg(CASE WHEN length(line) < 8 THEN 1.0 ELSE 0.0 END), 6) AS short_share, round(avg(CASE WHEN regexp_matches(line, '[#*$%&|<>]{3}') THEN 1.0 ELSE 0.0 END), 6) AS garbled_share FROM l WHERE trim(line) <> '' GROUP BY doc_id""")
 def layout_line_stats(spark, d):
