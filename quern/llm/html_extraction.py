@@ -1,10 +1,9 @@
-"""Main text of web pages by line-block distribution.
+"""Main text of web pages by line blocks with masked boilerplate.
 
 Markup is stripped into lines, one a block element; lines in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments count no characters, nor do lines outside <article> (or <main>) where a page has one, nor
-lines that are mostly links where it has neither.  Characters are summed over windows of WINDOW lines.  A surge point is
-where the sum rises over the threshold (SURGE characters; one character inside an article, which needs no guessing), a
-dive point is where it falls to nothing; the lines that count between surge and dive are the text.
+scripts, styles and comments count no characters.  Where a page has <article> or <main>, lines outside them count none,
+unless those hold more text and rise, summed over some WINDOW lines, to SURGE characters.  Elsewhere two lines in a row that are links as a whole are a menu and count none.  All lines
+that count are the text, however short.
 
 Text: character references are decoded, white space in a line becomes one space, lines are joined by a blank line.
 
@@ -40,8 +39,6 @@ NAMES = frozenset(
 )
 #: Of those, the ones that an article's own parts may carry.
 OWN = frozenset("header banner notice alert search related".split())
-
-
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)}
 
@@ -58,9 +55,9 @@ def _boilerplate(tag: str, text: str, inside: bool) -> bool:
     return bool(names & NAMES - (OWN if inside else frozenset()))
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
-    """(text, boilerplate, containers: 2 in article, 1 in main, characters in links) of each line, in page order."""
-    lines: list[tuple[str, bool, int, int]] = []
+def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
+    """(text, boilerplate, whether in article or main, characters in links) of each line, in page order."""
+    lines: list[tuple[str, bool, bool, int]] = []
     parts: list[str] = []
     linked = 0
     skip, depth = "", 0  # the element that is skipped, and how many of its name are open
@@ -72,7 +69,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, bool(skip), 2 if held["article"] else bool(held["main"]), linked))
+            lines.append((text, bool(skip), any(held.values()), linked))
         parts.clear()
         linked = 0
 
@@ -133,12 +130,14 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    best = max((c for _, skipped, c, _ in lines if not skipped), default=0)
-    if best:
-        length = [len(t) if c >= best and not skipped else 0 for t, skipped, c, _ in lines]
-    else:
-        length = [len(t) if not skipped and linked * 2 <= len(t) else 0 for t, skipped, _, linked in lines]
-    return "\n\n".join(lines[i][0] for i in between(length, 1 if best else SURGE))
+    count = [0 if skipped else len(t) for t, skipped, _, _ in lines]
+    within = [n if held else 0 for n, (_, _, held, _) in zip(count, lines, strict=True)]
+    whole = [0 < n <= linked for n, (*_, linked) in zip(count, lines, strict=True)]  # links as a whole
+    menu = [w and ((i > 0 and whole[i - 1]) or (i + 1 < len(whole) and whole[i + 1])) for i, w in enumerate(whole)]
+    outside = [0 if held or m else n for n, m, (_, _, held, _) in zip(count, menu, lines, strict=True)]
+    surge = any(sum(outside[i : i + WINDOW]) >= SURGE for i in range(len(outside)))
+    length = within if any(within) and not (surge and sum(outside) > sum(within)) else [0 if m and not w else n for n, m, w in zip(count, menu, within, strict=True)]
+    return "\n\n".join(lines[i][0] for i in between(length, 1))
 
 
 def between(length: list[int], surge: int) -> list[int]:

@@ -54,3 +54,23 @@ def test_simple_articles(spark):
         texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br>" in b else "", b)).split()) for b in blocks]
         want[r.page_id] = "\n\n".join(t for t in texts if t)
     assert {r.page_id: r.text for r in h.extract(pages).collect()} == want
+
+
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>" + "a" * 40 + "<p>" + "b" * 40, "a" * 40 + "\n\n" + "b" * 40),
+        (f"<h1>T</h1><p>by A<p>1 May<p>{LONG}", f"T\n\nby A\n\n1 May\n\n{LONG.strip()}"),
+        (f"<p>{LONG}<div class=ad>x</div><div class=ad>y</div><div class=ad>z</div><p>The end.", f"{LONG.strip()}\n\nThe end."),
+        ("<p>See <a href=x>this long account of it</a>.<p>More", "See this long account of it.\n\nMore"),
+        ("<h1><a href=x>T</a></h1><p>text", "T\n\ntext"),
+        (f"<main><p>{LONG}</p><article>teaser</article></main>", f"{LONG.strip()}\n\nteaser"),
+        (f"<div><p>{LONG}</p></div><article>teaser</article>", f"{LONG.strip()}\n\nteaser"),
+    ],
+)
+def test_short_blocks_and_containers(page, want):
+    """Nothing is dropped but boilerplate."""
+    assert h.main_text(page) == want
