@@ -5,6 +5,10 @@ scripts, styles and comments count no characters.  Where a page has <article> or
 unless those hold more text and rise, summed over some WINDOW lines, to SURGE characters.  Elsewhere two lines in a row that are links as a whole are a menu and count none.  All lines
 that count are the text, however short.
 
+An element is boilerplate by its name, or by a word of NAMES in a name of its class, id or role, but for names that say
+whether a page has such a part ("no-sidebar", "comments-open").  An <article> (within no other) or <main> is never
+boilerplate by class, nor is the element around it, if the page has none elsewhere.
+
 Text: character references are decoded, white space in a line becomes one space, lines are joined by a blank line.
 
 Defined results: a null, empty or textless page has the text "" and 0 characters; elements left open end with their
@@ -26,10 +30,10 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 # Element names of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms mtext msub msup msubsup mfrac msqrt mroot munder mover munderover mstyle mpadded mspace semantics".split())
 SPACE = frozenset("br td th img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml textarea title audio video select".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu head".split())
 #: Words of class, id and role that name boilerplate.
 NAMES = frozenset(
@@ -39,28 +43,40 @@ NAMES = frozenset(
 )
 #: Of those, the ones that an article's own parts may carry.
 OWN = frozenset("header banner notice alert search related".split())
+#: Words of a name that only says whether or how a page has such a part.
+MODIFIERS = frozenset("no not non without with has have is".split())
+STATES = frozenset("open opened closed enabled disabled on off".split())
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(text)}
 
 
-def _boilerplate(tag: str, text: str, inside: bool) -> bool:
+def _boilerplate(tag: str, text: str, inside: bool) -> str:
+    """What makes an element boilerplate: "tag", "class" or nothing."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
-        return True
+        return "tag"
     if not text or tag in ("html", "body"):
-        return False
+        return ""
     a = _attributes(text)
     if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    names = set(re.findall(r"[a-z]+", " ".join(a.get(k, "") for k in ("class", "id", "role")).lower()))
-    return bool(names & NAMES - (OWN if inside else frozenset()))
+        return "tag"
+    for name in " ".join(a.get(k, "") for k in ("class", "id", "role")).lower().split():
+        words = re.findall(r"[a-z]+", name)
+        if NAMES.difference(OWN if inside else ()).intersection(words) and MODIFIERS.isdisjoint(words) and words[-1] not in STATES:
+            return "class"
+    return ""
+
 
+def lines_of(page: str, unmask: bool = False) -> list[tuple[str, bool, bool, int]]:
+    """(text, boilerplate, whether in article or main, characters in links) of each line, in page order.
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, boilerplate, whether in article or main, characters in links) of each line, in page order."""
+    unmask: an article or main ends what is boilerplate by class around it.
+    """
     lines: list[tuple[str, bool, bool, int]] = []
     parts: list[str] = []
     linked = 0
-    skip, depth = "", 0  # the element that is skipped, and how many of its name are open
+    skip, depth, why = "", 0, ""  # the element that is skipped, how many of its name are open, and what makes it boilerplate
     held = {"article": 0, "main": 0}
     link = False
     at, end = 0, len(page)
@@ -103,6 +119,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         inline = tag in INLINE
         if not inline:
             close()
+        if skip and unmask and why == "class" and tag in held and not closing and not _boilerplate(tag, m[3], False):
+            skip, depth = "", 0
         if skip:
             if tag == skip:
                 depth += -1 if closing else 1
@@ -118,10 +136,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             if tag in held:
                 held[tag] = max(0, held[tag] - 1)
         elif tag not in VOID and not m[3].endswith("/"):
-            if _boilerplate(tag, m[3], any(held.values())):
+            found = _boilerplate(tag, m[3], any(held.values()))
+            if found == "class" and (tag == "main" or (tag == "article" and not held["article"])):
+                found = ""
+            if found:
                 if inline:
                     close()
-                skip, depth = tag, 1
+                skip, depth, why = tag, 1, found
             elif tag in held:
                 held[tag] += 1
     close()
@@ -129,7 +150,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 
 
 def main_text(page: str | None) -> str:
-    lines = lines_of(page or "")
+    page = page or ""
+    lines = lines_of(page)
+    if not any(held and not skipped for _, skipped, held, _ in lines) and re.search(r"<(?:article|main)[\s>]", page, re.I):
+        lines = lines_of(page, True)
     count = [0 if skipped else len(t) for t, skipped, _, _ in lines]
     within = [n if held else 0 for n, (_, _, held, _) in zip(count, lines, strict=True)]
     whole = [0 < n <= linked for n, (*_, linked) in zip(count, lines, strict=True)]  # links as a whole

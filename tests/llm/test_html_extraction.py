@@ -74,3 +74,21 @@ LONG = "word " * 40
 def test_short_blocks_and_containers(page, want):
     """Nothing is dropped but boilerplate."""
     assert h.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article class='post no-sidebar'><p>a</article>", "a"),
+        ("<article class='post comments-open'><p>a</article>", "a"),
+        ("<main id=has-header><p>a</main>", "a"),
+        ("<div class='page with-sidebar'><p>a</div>", "a"),
+        ("<main class=search><p>a<div class='search-form'>s</div></main>", "a\n\ns"),
+        ("<div class=sidebar>s</div><div class=banner>m<article><p>a</article></div>", "a"),
+        ("<article><p>a</article><div class=sidebar><article>teaser</article></div>", "a"),
+        ("<article><p>a<article class=comment><p>c</article></article>", "a"),
+        ("<p>area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> <object>o</object><canvas>c</canvas>", "area x=2\n\no\n\nc"),
+    ],
+)
+def test_boilerplate_names(page, want):
+    assert h.main_text(page) == want
