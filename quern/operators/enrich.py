@@ -70,16 +70,26 @@ def full_text(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
 
 
-def citations(terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """term_id, chunk_id: chunks (chunk_id, content, tokens) that contain a term (term_id, term) as a passage.
+def citations(terms: DataFrame, chunks: DataFrame, gram: int = 6) -> DataFrame:
+    """term_id, chunk_id: chunks (chunk_id, content) that contain a term (term_id, term) as a substring, case aside.
 
-    Both meet on the term's longest token, so a chunk is tested only for terms that share a word with it.
+    Both are cut into pieces at what is no letter or digit.  A piece strictly inside a term is a whole piece of every
+    chunk that contains the term, so such terms meet chunks on their longest inner piece.  Terms without one meet on their
+    first characters (gram at most), as the chunks' substrings of that length.  Empty terms match nothing.
     """
-    low = terms.select("term_id", F.lower("term").alias("term")).withColumn("_t", text.content_tokens(F.col("term"))).filter("size(_t) > 0")
-    key = F.element_at(F.array_sort(F.transform("_t", lambda t: F.struct(F.char_length(t).alias("n"), t.alias("t")))), -1)["t"]
-    asked = low.select("term_id", "term", key.alias("key"))
-    having = chunks.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("key")).join(asked, "key")
-    return having.join(chunks.select("chunk_id", "content"), "chunk_id").filter(F.contains(F.lower("content"), F.col("term"))).select("term_id", "chunk_id")
+    cut = r"[^\p{L}\p{N}]+"
+    low = terms.select("term_id", F.lower("term").alias("term")).filter("term <> ''").withColumn("_p", F.split("term", cut))
+    inner = F.filter(F.expr("slice(_p, 2, greatest(size(_p) - 2, 0))"), lambda p: p != "")
+    longest = F.array_max(F.transform(inner, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
+    asked = low.select("term_id", "term", longest.alias("key"))
+    texts = chunks.select("chunk_id", F.lower("content").alias("content"))
+    met = texts.select("chunk_id", F.explode(F.array_distinct(F.split("content", cut))).alias("key")).join(asked, "key").select("chunk_id", "term_id", "term")
+    short = asked.filter("key is null").select("term_id", "term", F.substring("term", 1, gram).alias("key"))
+    for n in sorted(r[0] for r in short.select(F.char_length("key")).distinct().collect()):  # gram values at most
+        grams = F.expr(f"if(char_length(content) >= {n}, transform(sequence(1, char_length(content) - {n} + 1), i -> substring(content, i, {n})), array())")
+        these = short.filter(F.char_length("key") == n)
+        met = met.unionByName(texts.select("chunk_id", F.explode(F.array_distinct(grams)).alias("key")).join(these, "key").select("chunk_id", "term_id", "term"))
+    return met.join(texts, "chunk_id").filter(F.contains("content", F.col("term"))).select("term_id", "chunk_id")
 
 
 def compose_image(ocr: Column, caption: Column) -> Column:

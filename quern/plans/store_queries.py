@@ -186,8 +186,8 @@ def compose_full_text(spark, d):
 
 @query("wiki_citation_rule", "SELECT item_id AS term_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE regexp_matches(b.text, '[A-Za-z]')")
 def wiki_citation_rule(spark, d):
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), text.content_tokens(F.col("text")).alias("tokens"))
-    return enrich.citations(table(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")), chunks)
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return enrich.citations(table(spark, d, "benchmark").filter(F.col("text").rlike("[A-Za-z]")).select(F.col("item_id").alias("term_id"), F.col("text").alias("term")), chunks)
 
 
 @query("image_content_compose", "SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE '[OCR]' || chr(10) || lang || chr(10) || chr(10) END || '[Caption]' || chr(10) || source AS content FROM documents")
