@@ -155,7 +155,7 @@ def clusters(x: np.ndarray, method: str, threshold: float = 0.1, most: int = 64)
         return ward(x)
     y = reduce_dimensions(x)
     fits = []
-    for n in range(1, min(most, len(x) // 2, 12) + 1):
+    for n in range(1, min(most, len(x)) + 1):
         fits.append((bic(p := mixture(y, n), y), n, p))
     share = min(fits, key=lambda f: (f[0], f[1]))[2][3]
     found = [[i for i in range(len(x)) if share[i, c] > threshold or share[i].argmax() == c] for c in range(share.shape[1])]
@@ -173,12 +173,14 @@ def reduce_dimensions(x: np.ndarray, most: int = 12) -> np.ndarray:
 def mixture(y: np.ndarray, n: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
     """Weights, means, variances, responsibilities and log-likelihood of n diagonal Gaussians; seeds lie far apart."""
     seeds = [int(((y - y.mean(axis=0)) ** 2).sum(axis=1).argmin())]
+    far = ((y - y[seeds[0]]) ** 2).sum(axis=1)
     while len(seeds) < n:
-        seeds.append(int(np.min([((y - y[s]) ** 2).sum(axis=1) for s in seeds], axis=0).argmax()))
+        seeds.append(int(far.argmax()))
+        far = np.minimum(far, ((y - y[seeds[-1]]) ** 2).sum(axis=1))
     mean, floor = y[seeds].copy(), 1e-6 + 1e-3 * y.var(axis=0).mean()
     var, weight, last = np.tile(y.var(axis=0) + floor, (n, 1)), np.full(n, 1 / n), -np.inf
     for _ in range(rounds):
-        logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + (((y[:, None, :] - mean) ** 2) / var).sum(axis=2))
+        logs = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + y**2 @ (1 / var).T - 2 * y @ (mean / var).T + (mean**2 / var).sum(axis=1))
         top = logs.max(axis=1, keepdims=True)
         like = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
         share = np.exp(logs - like[:, None])

@@ -1,5 +1,7 @@
 """Enrichment steps on small tables."""
 
+import numpy as np
+
 from quern.operators import enrich
 
 
@@ -10,3 +12,12 @@ def test_citations_find_all_substrings(spark):
     c = spark.createDataFrame([(i, x, x.lower().split() if x else []) for i, x in enumerate(texts)], "chunk_id long, content string, tokens array<string>")
     want = sorted((i, j) for i, a in enumerate(terms) if a for j, b in enumerate(texts) if b and a.lower() in b.lower())
     assert sorted(map(tuple, enrich.citations(t, c).collect())) == want
+
+
+def test_mixture_of_more_than_twelve():
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(-20, 20, (20, 6))
+    x = np.concatenate([c + rng.normal(0, 0.3, (40, 6)) for c in centres])
+    found = enrich.clusters(x, "gmm")
+    assert sorted(map(sorted, found)) == [list(range(40 * i, 40 * i + 40)) for i in range(20)]
+    assert len(enrich.clusters(x, "gmm", most=5)) == 5
