@@ -120,7 +120,7 @@ def summary_tree(vectors: DataFrame, group: str = "doc_id", method: str = "gmm",
 
     Layer 1 clusters a group's chunks, each further layer the nodes below, until fan_out nodes or fewer are left under one
     root.  Clusters come from diagonal Gaussian mixtures chosen by BIC ('gmm', soft) or from Ward's merges cut at the
-    widest gap ('ahc'); both are deterministic.  A group is one document's, and groups of under two vectors have no tree.
+    widest gap and moved to nearest centroids ('ahc'); both are deterministic.  A group is one document's, and groups of under two vectors have no tree.
     """
     kind = vectors.schema["chunk_id"].dataType.simpleString()
 
@@ -152,7 +152,7 @@ def summary_tree(vectors: DataFrame, group: str = "doc_id", method: str = "gmm",
 
 def clusters(x: np.ndarray, method: str, threshold: float = 0.1, most: int = 64) -> list[list[int]]:
     if method == "ahc":
-        return ward(x)
+        return nearest_centroids(x, ward(x, most))
     y = reduce_dimensions(x)
     fits = []
     for n in range(1, min(most, len(x)) + 1):
@@ -199,8 +199,22 @@ def bic(fit: tuple, y: np.ndarray) -> float:
     return (n * 2 * d + n - 1) * np.log(len(y)) - 2 * fit[4]
 
 
-def ward(x: np.ndarray) -> list[list[int]]:
-    """Ward's merges, cut where the next merge costs the most more than the last."""
+def nearest_centroids(x: np.ndarray, found: list[list[int]], rounds: int = 5) -> list[list[int]]:
+    """Clusters whose members are moved to the nearest centroid, ties to the first, until none moves; rounds at most."""
+    for _ in range(rounds):
+        if len(found) < 2:
+            break
+        centre = np.stack([x[f].mean(axis=0) for f in found])
+        to = np.array([((centre - v) ** 2).sum(axis=1).argmin() for v in x])
+        moved = [m for m in (np.flatnonzero(to == c).tolist() for c in range(len(found))) if m]
+        if moved == [sorted(f) for f in found]:
+            break
+        found = moved
+    return found
+
+
+def ward(x: np.ndarray, most: int = 64) -> list[list[int]]:
+    """Ward's merges, cut where the next merge costs the most more than the last, into that many clusters at most."""
     live = {i: (x[i], 1, [i]) for i in range(len(x))}
     steps, costs = [], []
     while len(live) > 1:
@@ -216,7 +230,7 @@ def ward(x: np.ndarray) -> list[list[int]]:
     if len(costs) < 2:
         return [list(range(len(x)))]
     gaps = np.diff(np.sqrt(costs))
-    return steps[int(gaps.argmax()) + 1]
+    return steps[max(int(gaps.argmax()) + 1, len(x) - most)]
 
 
 def embed(texts: DataFrame, embedder=None, column: str = "content", to: str = "embedding") -> DataFrame:

@@ -21,3 +21,16 @@ def test_mixture_of_more_than_twelve():
     found = enrich.clusters(x, "gmm")
     assert sorted(map(sorted, found)) == [list(range(40 * i, 40 * i + 40)) for i in range(20)]
     assert len(enrich.clusters(x, "gmm", most=5)) == 5
+
+
+def test_ward_is_bounded_and_refined():
+    x = 30 * np.repeat(np.eye(80), 2, axis=0) + np.random.default_rng(1).normal(0, 0.01, (160, 80))
+    found = enrich.clusters(x, "ahc")
+    assert len(found) == 64 and sorted(i for f in found for i in f) == list(range(160))
+    assert len(enrich.clusters(x, "ahc", most=5)) == 5
+    line = np.array([[0.0], [1.0], [2.0], [3.9], [9.0], [9.1], [6.5]])
+    assert enrich.nearest_centroids(line, [[0, 1, 2, 3, 6], [4, 5]]) == [[0, 1, 2, 3], [4, 5, 6]]
+    assert enrich.nearest_centroids(line, [[0, 1], [2, 3, 4, 5, 6]], 0) == [[0, 1], [2, 3, 4, 5, 6]]
+    for v in np.random.default_rng(2).normal(0, 1, (5, 40, 3)):
+        found = enrich.clusters(v, "ahc")
+        assert sorted(i for f in found for i in f) == list(range(40))
