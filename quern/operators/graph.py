@@ -154,7 +154,8 @@ def communities(pairs: DataFrame, group: str, max_size: int = 100, rounds: int =
     """group, name, level, community: modularity communities of each group's undirected weighted graph.
 
     A group's graph is one knowledge base's; it moves nodes to the neighbouring community of best gain, in name order, and
-    splits what is over max_size again one level down.  Communities of one node are left out.
+    splits what is over max_size again one level down, until nothing is; what moves don't split falls into its connected
+    parts, and a connected one into even pieces of neighbouring nodes.  Communities of one node are left out.
     """
     import pandas as pd
 
@@ -166,13 +167,16 @@ def communities(pairs: DataFrame, group: str, max_size: int = 100, rounds: int =
             near.setdefault(s, {})[t] = near.setdefault(s, {}).get(t, 0.0) + float(w)
             near.setdefault(t, {})[s] = near.setdefault(t, {}).get(s, 0.0) + float(w)
         out, work, level = [], [sorted(near)], 0
-        while work and level < 4:
+        while work:
             again = []
             for nodes in work:
-                for c, members in enumerate(move(nodes, near, rounds)):
+                found = move(nodes, near, rounds)
+                if level and len(found) == 1:
+                    found = pieces(nodes, near, max_size)
+                for c, members in enumerate(found):
                     if len(members) > 1:
                         out += [(frame[group].iloc[0], n, level, f"L{level}_{c}_{members[0]}") for n in members]
-                    if max_size < len(members) < len(nodes):
+                    if len(members) > max_size:
                         again.append(members)
             work, level = again, level + 1
         return pd.DataFrame(out, columns=[group, "name", "level", "community"])
@@ -180,6 +184,24 @@ def communities(pairs: DataFrame, group: str, max_size: int = 100, rounds: int =
     return pairs.select(group, "source", "target", "weight").groupBy(group).applyInPandas(detect, f"{group} {pairs.schema[group].dataType.simpleString()}, name {kind}, level int, community string")
 
 
+def pieces(nodes: list, near: dict, max_size: int) -> list[list]:
+    """The connected parts that nodes span, or, of one part, even pieces of at most max_size in breadth-first order."""
+    left, parts = set(nodes), []
+    for n in nodes:
+        if n in left:
+            part = [n]
+            left.discard(n)
+            for x in part:  # grows as it is read
+                new = sorted(y for y in near[x] if y in left)
+                left.difference_update(new)
+                part += new
+            parts.append(part)
+    if len(parts) == 1:
+        count = -(-len(nodes) // max_size)
+        parts = [parts[0][i * len(nodes) // count : (i + 1) * len(nodes) // count] for i in range(count)]
+    return sorted(sorted(p) for p in parts)
+
+
 def move(nodes: list, near: dict, rounds: int) -> list[list]:
     """Communities of the graph that nodes span: greedy moves of best modularity gain."""
     inside = set(nodes)
