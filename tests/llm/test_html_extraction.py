@@ -92,3 +92,73 @@ def test_short_blocks_and_containers(page, want):
 )
 def test_boilerplate_names(page, want):
     assert h.main_text(page) == want
+
+
+@pytest.mark.parametrize("name", ["class=ad-hoc", "class=promo-free", "class=post-share-price", "class=comment-on-policy", "class=menu-planning", "id=social-impact"])
+@pytest.mark.parametrize("text", ["A short account.", LONG.strip()])
+def test_ambiguous_names(name, text):
+    assert h.main_text(f"<article><h1>T</h1><section {name}><p>{text}</p></section></article>") == f"T\n\n{text}"
+    assert h.main_text(f"<div {name}><h1>T</h1><p>{text}</p></div>") == f"T\n\n{text}"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "ad-300x250", "adSlot", "cookie_banner", "site-footer", "comment-list", "share-buttons", "related-posts", "newsletter-signup", "sidebar-left", "mainMenu", "notice", "post big sidebar"])
+def test_boilerplate_parts(name):
+    page = f"<body><div class='{name}'><p>{LONG}</p></div><div class=text><h1>T</h1><p>{LONG}</p></div></body>"
+    if "post" in name.split():
+        assert h.main_text(page) == f"{LONG.strip()}\n\nT\n\n{LONG.strip()}"
+    else:
+        assert h.main_text(page) == f"T\n\n{LONG.strip()}"
+
+
+SITE = "<div><p>Site</p><p>Tagline</p></div>"
+LINKS = "<div>" + "<p><a href=x>Item</a></p>" * 5 + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # without <article>: what precedes and follows the menus doesn't surge and lies elsewhere
+        (f"{SITE}{LINKS}<div><h1>T</h1><p>by A</p><p>{LONG}</p><p>End.</p></div>{LINKS}<div><p>2024 Site</p></div>", f"T\n\nby A\n\n{LONG.strip()}\n\nEnd."),
+        # the end of the text after a menu in it
+        (f"<div><p>{LONG}</p>{LINKS}<p>End.</p></div>{LINKS}<div><p>2024 Site</p></div>", f"{LONG.strip()}\n\nEnd."),
+        # nothing surges: all lines but menus
+        (f"{SITE}{LINKS}<div><p>One.</p></div>", "Site\n\nTagline\n\nOne."),
+        # in <article>: a menu's windows are low, a list of sources' are high, two links are no menu
+        (f"<article><p>{LONG}</p>{LINKS}<p>End.</p></article>", f"{LONG.strip()}\n\nEnd."),
+        (f"<article><p>{LONG}</p>" + f"<p><a href=x>{LONG}</a></p>" * 3 + "</article>", "\n\n".join([LONG.strip()] * 4)),
+        ("<article><p>a</p><p><a href=x>b</a></p><p><a href=x>c</a></p></article>", "a\n\nb\n\nc"),
+        # under an ambiguous name links decide
+        ("<article><p>a</p><div class=social-impact><a href=x>Link text</a> b</div></article>", "a"),
+        # a link that is never closed
+        (f"<div><p><a href=x>Top<p>{LONG}<p>{LONG}</div>", f"Top\n\n{LONG.strip()}\n\n{LONG.strip()}"),
+    ],
+)
+def test_windows(page, want):
+    assert h.main_text(page) == want
+
+
+def test_windows_decide(monkeypatch):
+    """The stretches and menus above follow from the windows: without them the results differ."""
+    page = f"{SITE}{LINKS}<div><p>{LONG}</p></div>"
+    inside = f"<article><p>{LONG}</p>{LINKS}</article>"
+    assert h.main_text(page) == h.main_text(inside) == LONG.strip()
+    monkeypatch.setattr(h, "SURGE", 1)
+    assert h.main_text(page) != LONG.strip()
+    assert h.main_text(inside) != LONG.strip()
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "x>y" ', "<a b='>", "<!-- ", "<svg>", "<div>", "</div>", "<p", "<script>", "<a href=x>", "<", "<select>", "<td>", "&lt;"])
+def test_time_grows_with_length(part):
+    import time
+
+    began = time.process_time()
+    h.main_text(part * (2_000_000 // len(part)))
+    h.main_text(part * (200_000 // len(part)) + "<article><p>x</p>" + '">\'>' * 1000)
+    assert time.process_time() - began < 20
+
+
+def test_unclosed_parts():
+    assert h.main_text("<p>a<svg><p>b") == "a\n\nb"
+    assert h.main_text("<!--><p>a<!-- x --!><p>b<!---><p>c") == "a\n\nb\n\nc"
+    assert h.main_text("<p>a <a title='x") == "a <a title='x"
+    assert h.main_text("<p>a <b title='>b</b> c") == "a b c"
