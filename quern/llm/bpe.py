@@ -1,9 +1,13 @@
 """Byte-pair encoding and decoding with a published vocabulary.
 
-Ordinary texts are encoded whole.  A long unsplit text (a pre-token, or a whole text without one, of more than LEAF
-bytes) is cut in halves down to leaves; the leaves are encoded side by side, and each join is mended by re-encoding a
-growing window around it until the window's first and last token are those that the two sides already have.  A token
-sequence is the encoding of its text exactly if every neighbouring pair is, so that agreement is exact, not a guess.
+A text of more than LEAF characters is cut in halves down to leaves, wherever that falls; the leaves are encoded side by
+side, and each join is mended by re-encoding a window around it.  A window goes from one seam to another: a space or line
+end after a character that is neither is where the splitting pattern begins anew, whatever lies further off, so that
+tokens never cross it and what lies beyond is the same with any neighbours.  It grows until its first and last token are
+those that the two sides already have at these seams.
+
+A pre-token of more than LEAF bytes has no seams.  It is a tree of its own, whose windows go from token to token: a token
+sequence is the encoding of a pre-token exactly if every neighbouring pair is, so that agreement is exact there, too.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows give repeated rows; only the id and text
 columns are read, so other columns can have any name.
@@ -24,8 +28,10 @@ from tokenizers import Tokenizer
 
 from quern.llm import shared
 
-#: Bytes of an unsplit text that one call encodes.
+#: Characters of a text, or bytes of a pre-token, that one call encodes.
 LEAF = 4096
+#: Where the splitting pattern begins anew.
+SEAM = re.compile(r"(?<=[\w!-~])[ \n]")
 #: Fixed value: the public pattern of byte-level vocabularies that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters whose class could differ between versions of Unicode; texts that have them are split by the library.
@@ -71,6 +77,7 @@ class Codec:
             self.byte_level = order == sorted(order)  # ids must rise with the merges to serve as ranks
             self.core = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.trees = 0  # texts encoded by halves
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @cached_property
@@ -101,9 +108,46 @@ class Codec:
             return []
         if has_long_run(text):
             return [i for p in self.pieces(text) for i in self.encode_unsplit(p.encode("utf-8", "surrogatepass"))]
-        if not text.isascii() and UNSURE.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids if not self.cut or not self.cut.search(text) else self.encode(text)
-        return self.core.encode_ordinary(text)
+        unsure = not text.isascii() and UNSURE.search(text)
+        whole = (lambda t: self.library.encode(t, add_special_tokens=False).ids) if unsure else self.core.encode_ordinary
+        return whole(text) if len(text) <= LEAF else self.encode_halves(text, whole)
+
+    def encode_halves(self, text: str, whole, leaf: int = LEAF) -> list[int]:
+        """Encode a text by the tree of its halves, with whole() for leaves and windows."""
+        self.trees += 1
+        edges = [0, len(text)]
+        while edges[1] > leaf:
+            edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges, edges[1:], strict=False))})
+        spans = list(zip(edges, edges[1:], strict=False))
+        with ThreadPoolExecutor(4) as pool:
+            nodes = list(zip(pool.map(lambda s: whole(text[s[0] : s[1]]), spans), spans, strict=True))
+            while len(nodes) > 1:
+                rest = nodes[len(nodes) // 2 * 2 :]
+                nodes = [*pool.map(lambda k: self._mend(text, whole, *nodes[k], *nodes[k + 1]), range(0, len(nodes) - 1, 2)), *rest]
+        return nodes[0][0]
+
+    def _mend(self, text: str, whole, left: list[int], one: tuple[int, int], right: list[int], two: tuple[int, int]) -> tuple[list[int], tuple[int, int]]:
+        start, at, end, reach = *one, two[1], 32
+        while True:
+            low, high = max(start, at - reach), min(end, at + reach)
+            a = start if low == start else next((m.start() for m in SEAM.finditer(text, low + 1, at)), None)
+            b = end if high == end else next((m.start() for m in reversed(list(SEAM.finditer(text, at + 1, high)))), None)
+            if a is not None and b is not None:
+                i, j = (self._token_at(t, n) for t, n in ((left[::-1], text[a:at]), (right, text[at:b])))
+                again = whole(text[a:b])
+                if i is not None and j is not None and (a == start or (i and again[0] == left[-i])) and (b == end or (j and again[-1] == right[j - 1])):
+                    return left[: len(left) - i] + again + right[j:], (start, end)
+                if a == start and b == end:
+                    return again, (start, end)
+            reach *= 2
+
+    def _token_at(self, ids: list[int], text: str) -> int | None:
+        """How many of ids, from their first on, make the bytes of text; None if a token crosses its end."""
+        n, k = len(text.encode("utf-8", "surrogatepass")), 0
+        while n > 0:
+            n -= len(self.bytes_of[ids[k]])
+            k += 1
+        return k if n == 0 else None
 
     def encode_unsplit(self, raw: bytes, leaf: int = LEAF) -> list[int]:
         """Encode one pre-token; over leaf bytes, by the tree of halves."""

@@ -52,3 +52,35 @@ def test_frames(spark):
 @given(st.lists(st.integers(0, 50256), max_size=12))
 def test_any_ids(codec, ids):
     assert codec.decode(ids) == codec.library.decode(ids, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_halves_equal_whole(codec, seed):
+    """Leaves of any size, cut anywhere, in texts with seams, without, and with what a cut could part."""
+    r = random.Random(seed)
+    parts = ["the", " ing", "  ", "'re", "'", "r", "e", " 's", "\n", "\n\n ", " 12", "3", "é", " ñ", "...", "\t", "\xa0", "x" * 40, "'ll ", "_", " _"]
+    text = "".join(r.choice(parts) for _ in range(400))
+    want = codec.library.encode(text, add_special_tokens=False).ids
+    for leaf in (1, 3, 17, 100, 700):
+        assert codec.encode_halves(text, codec.core.encode_ordinary, leaf) == want
+        assert codec.encode_halves(text, lambda t: codec.library.encode(t, add_special_tokens=False).ids, leaf) == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(min_size=1, max_size=60), st.integers(1, 9))
+def test_halves_of_any_text(codec, text, leaf):
+    if codec.cut is None or not codec.cut.search(text):
+        library = lambda t: codec.library.encode(t, add_special_tokens=False).ids
+        assert codec.encode_halves(text, library, leaf) == library(text)
+
+
+def test_long_documents_go_by_halves(codec):
+    """All ids of all documents equal the library's, and those of over LEAF characters are encoded by halves."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    before = codec.trees
+    for t in texts:
+        assert codec.encode(t) == codec.library.encode(t, add_special_tokens=False).ids
+    long = sum(len(t) > bpe.LEAF for t in texts)
+    assert codec.trees - before == long > 50
