@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, lru_cache
 
@@ -85,6 +86,10 @@ class Codec:
         """The library's own tokenizer, loaded when a text needs it."""
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def pool(self) -> ThreadPoolExecutor:
+        return ThreadPoolExecutor(4)
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -119,11 +124,10 @@ class Codec:
         while edges[1] > leaf:
             edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges, edges[1:], strict=False))})
         spans = list(zip(edges, edges[1:], strict=False))
-        with ThreadPoolExecutor(4) as pool:
-            nodes = list(zip(pool.map(lambda s: whole(text[s[0] : s[1]]), spans), spans, strict=True))
-            while len(nodes) > 1:
-                rest = nodes[len(nodes) // 2 * 2 :]
-                nodes = [*pool.map(lambda k: self._mend(text, whole, *nodes[k], *nodes[k + 1]), range(0, len(nodes) - 1, 2)), *rest]
+        nodes = list(zip(self.pool.map(lambda s: whole(text[s[0] : s[1]]), spans), spans, strict=True))
+        while len(nodes) > 1:
+            rest = nodes[len(nodes) // 2 * 2 :]
+            nodes = [*(self._mend(text, whole, *nodes[k], *nodes[k + 1]) for k in range(0, len(nodes) - 1, 2)), *rest]  # short windows
         return nodes[0][0]
 
     def _mend(self, text: str, whole, left: list[int], one: tuple[int, int], right: list[int], two: tuple[int, int]) -> tuple[list[int], tuple[int, int]]:
@@ -133,7 +137,7 @@ class Codec:
             a = start if low == start else next((m.start() for m in SEAM.finditer(text, low + 1, at)), None)
             b = end if high == end else next((m.start() for m in reversed(list(SEAM.finditer(text, at + 1, high)))), None)
             if a is not None and b is not None:
-                i, j = (self._token_at(t, n) for t, n in ((left[::-1], text[a:at]), (right, text[at:b])))
+                i, j = (self._token_at(t, n) for t, n in ((reversed(left), text[a:at]), (right, text[at:b])))
                 again = whole(text[a:b])
                 if i is not None and j is not None and (a == start or (i and again[0] == left[-i])) and (b == end or (j and again[-1] == right[j - 1])):
                     return left[: len(left) - i] + again + right[j:], (start, end)
@@ -141,11 +145,11 @@ class Codec:
                     return again, (start, end)
             reach *= 2
 
-    def _token_at(self, ids: list[int], text: str) -> int | None:
+    def _token_at(self, ids: Iterable[int], text: str) -> int | None:
         """How many of ids, from their first on, make the bytes of text; None if a token crosses its end."""
-        n, k = len(text.encode("utf-8", "surrogatepass")), 0
+        n, k, ids = len(text.encode("utf-8", "surrogatepass")), 0, iter(ids)
         while n > 0:
-            n -= len(self.bytes_of[ids[k]])
+            n -= len(self.bytes_of[next(ids)])
             k += 1
         return k if n == 0 else None
 
@@ -157,11 +161,10 @@ class Codec:
         parts = [raw]
         while len(parts[0]) > leaf:
             parts = [h for p in parts for h in (p[: len(p) // 2], p[len(p) // 2 :]) if h]
-        with ThreadPoolExecutor(4) as pool:
-            done = list(pool.map(encode, parts))
-            while len(done) > 1:
-                rest = done[len(done) // 2 * 2 :]
-                done = [*pool.map(lambda k: self._join(done[k], done[k + 1]), range(0, len(done) - 1, 2)), *rest]
+        done = list(self.pool.map(encode, parts))
+        while len(done) > 1:
+            rest = done[len(done) // 2 * 2 :]
+            done = [*(self._join(done[k], done[k + 1]) for k in range(0, len(done) - 1, 2)), *rest]
         return done[0]
 
     def _join(self, left: list[int], right: list[int]) -> list[int]:

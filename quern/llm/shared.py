@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from quern.storage import drop_table, new_dir, settle, shared_dir
 
-__all__ = ["drop_table", "new_dir", "pack", "pack_counts", "pack_sorted", "partitions", "settle", "shared_dir", "trim", "unpack", "unpack_counts", "unpack_sorted"]
+__all__ = ["drop_table", "free_shuffles", "new_dir", "pack", "pack_counts", "pack_sorted", "partitions", "settle", "shared_dir", "trim", "unpack", "unpack_counts", "unpack_sorted"]
 
 
 def trim() -> None:
@@ -22,6 +22,11 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of what has been settled: it does so once the driver has collected garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
