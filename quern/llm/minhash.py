@@ -36,8 +36,8 @@ from quern.llm import components, shared
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Agreeing samples below which a pair of SIMILARITY is out of reach (four standard deviations).
-AGREE = 38
+#: Agreeing samples below which a pair of SIMILARITY is out of reach: it has fewer with probability 0.00000002.
+AGREE = 32
 #: Members over which a band is large; heads of a large band.
 BIG, HEADS = 32, 4
 #: Nodes and characters in one block of a large band (as expected from an even deal).
