@@ -5,11 +5,11 @@ among sources by highest quotients (w / (2k + 1)); a source's blocks are apporti
 hash of the id deals about SHARD_DOCS documents to each, so a source that holds most rows is many shards).  In a shard,
 documents lie end to end in seeded order; its quota takes every block quota // blocks times, and quota % blocks of them,
 chosen by a seeded permutation, once more.  What a document gives follows from the blocks it touches, so the mix is
-arithmetic on positions, and the same on every run.
+arithmetic on positions, and the same on every run.  Rows without an id are dealt by their text.
 
 What reaches the driver is one row a source.
 
-Defined results: a null text has size 0; a null source is a source of its own, last in order; repeated rows are rows of
+Defined results: a null text has size 0; rows that share an id lie by size and text; a null source is a source of its own, last in order; repeated rows are rows of
 their own and take positions next to each other; empty sources have target 0; an empty table gives no rows.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.llm import shared
+
 BLOCK_WORDS, SHARD_DOCS, SEED = 32, 4096, 20240229
 #: Weights of sources in order, repeating; what is shared, and the most of a source, as parts of sizes.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -81,6 +83,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     slim = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     sized = slim.withColumn("_size", F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_tie", F.xxhash64("_text"))
     keyed = sized.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")))
+    if not keep:  # words are counted once; with columns to keep, texts would have to be written, too
+        keyed = shared.settle(keyed.drop("_text"), "mixing-sizes")
     found = keyed.groupBy("_source", "_key").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
     found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
     wanted = targets([r["size"] for r in found])
@@ -91,7 +95,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     )
     if len(found) <= FEW_SOURCES:  # else a shuffle, in which no source can be large
         per_source = F.broadcast(per_source)
-    dealt = keyed.join(per_source, "_key").withColumn("_shard", F.expr(f"cast(pmod(xxhash64({seed}, _id), _shards) as int)"))
+    dealt = keyed.join(per_source, "_key").withColumn("_shard", F.expr(f"cast(pmod(if(_id is null, xxhash64({seed}, _tie), xxhash64({seed}, _id)), _shards) as int)"))
 
     def apportion(shards: pd.DataFrame) -> pd.DataFrame:
         shards = shards.sort_values("_shard").reset_index(drop=True)
