@@ -1,7 +1,7 @@
 """Quality classifier by compression: a text compresses better with a dictionary built from texts of its own kind.
 
-fit() draws at most PER_CLASS labelled rows of each class (smallest hash of the id first; texts over SAMPLE_BYTES are
-not drawn), builds one zstandard dictionary from half of the good ones and one from half of the bad ones, and calibrates
+fit() draws at most PER_CLASS labelled rows of each class (smallest hash of the id first; of a text of over SAMPLE_BYTES
+it takes PIECES runs of PIECE characters, evenly spread over the whole text), builds one zstandard dictionary from half of the good ones and one from half of the bad ones, and calibrates
 the normalised size difference on the other halves by logistic regression, weighted to the classes' true frequencies.
 The difference is taken against that of a neutral text of the same length, and normalised by length plus STEADY bytes,
 so that a short text, which tells little, has a score near the share of good texts.
@@ -28,6 +28,7 @@ from quern.llm import shared
 
 #: Bounds of the sample that is learnt from, and the fewest texts of a class that make a dictionary.
 PER_CLASS, SAMPLE_BYTES, LEAST = 3000, 32768, 20
+PIECES, PIECE = 32, 256
 DICTIONARY_BYTES, LEVEL, RUN, STEADY = 1 << 17, 3, 512, 200
 
 
@@ -68,7 +69,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     drawn = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("_id"), "_id").limit(PER_CLASS) for q in (0, 1)]
     wanted = F.broadcast(drawn[0].unionByName(drawn[1]))  # 2 * PER_CLASS rows at most
-    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") <= SAMPLE_BYTES)
+    spread = f"array_join(transform(sequence(0, {PIECES - 1}), i -> substring(_text, cast(i * (char_length(_text) / {PIECES}) as int) + 1, {PIECE})), '')"
+    texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).filter("_text is not null")
+    texts = texts.withColumn("_text", F.expr(f"if(octet_length(_text) <= {SAMPLE_BYTES}, _text, {spread})"))
     rows = texts.join(wanted, F.col("_own") == F.col("_id")).groupBy("_id", "quality").agg(F.min("_text").alias("_text")).collect()
     sample = {q: [r["_text"] for r in sorted(rows, key=lambda r: str(r["_id"])) if r["quality"] == q] for q in (0, 1)}
     prior = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))

@@ -7,6 +7,9 @@ that a good part of a block's documents hold are dealt by pre-token and block, s
 hold a bounded number of bytes and every dealt row belongs to one block and slot, so no row and no group grows with a
 word's frequency.
 
+Input must be a scan or a settled table, whose rows come in the same order when a lost task runs again: blocks are named
+by their place in it.
+
 Defined results: a null text counts as empty and has 0 bytes and 0 tokens; repeated rows give repeated rows; only the
 id and text columns are read, so other columns can have any name.  With a vocabulary that isn't byte-level BPE (or a
 sentencepiece model) the whole text is the pre-token.

@@ -25,7 +25,7 @@ def xx(value, seed=42):
 
 
 def xx_long(value, seed=42):
-    return xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), seed)
+    return xxhash.xxh64_intdigest((int(value) % (1 << 64)).to_bytes(8, "little"), seed)
 
 
 def grams(text):
@@ -95,8 +95,9 @@ def mixed(docs, seed=mixing.SEED):
     for s, n, target, q in zip(sources, sizes, want, quota):
         rows = [r for r in docs if r[1] == s]
         n_shards = max(1, math.ceil(len(rows) / mixing.SHARD_DOCS))
-        place = lambda i: signed(xx_long(i, xx(seed)) if i is not None else xx(seed)) % n_shards  # noqa: B023, E731
-        shards = [[r for r in rows if place(r[0]) == k] for k in range(n_shards)]
+        tie = lambda t: signed(xx(t)) if t is not None else 42
+        place = lambda r: signed(xx_long(r[0] if r[0] is not None else tie(r[2]) % (1 << 64), xx(seed))) % n_shards  # noqa: B023, E731
+        shards = [[r for r in rows if place(r) == k] for k in range(n_shards)]
         words = [sum(size(t) for *_, t in x) for x in shards]
         used = [k for k in range(n_shards) if shards[k]]
         seats = mixing.sainte_lague([words[k] for k in used], q, [2 * math.ceil(words[k] / step) for k in used])
@@ -105,7 +106,7 @@ def mixed(docs, seed=mixing.SEED):
             a = (seed * 2654435761 + k * 40503) % max(math.ceil(words[k] / step), 1)
             while math.gcd(a, blocks) != 1:
                 a += 1
-            order = lambda r: (signed(xx(seed, xx_long(r[0]) if r[0] is not None else 42)), r[0] if r[0] is not None else -1)
+            order = lambda r: (signed(xx(seed, xx_long(r[0]) if r[0] is not None else 42)), r[0] if r[0] is not None else -1, size(r[2]), tie(r[2]))  # noqa: B023, E731
             start = 0
             for i, _, t in sorted(shards[k], key=order):
                 w = WORD.findall(t or "")
