@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +14,9 @@ from pyspark.sql.window import Window
 
 from quern.functions import text
 
+#: What became of a module that was run.
+DONE, FAILED, SKIPPED = "done", "failed", "skipped"
+
 #: What each module reads from others; the first batch runs before all others.
 FIRST_BATCH = ("text", "vlm_caption", "vector")
 DEPENDS = {"graph_extract": (), "keyword_extract": (), "question_gen": (), "raptor": (), "summarizer": (), "wiki": (), "disambiguation": ("graph_extract",), "community": ("disambiguation",)}
@@ -28,6 +35,33 @@ def layers(depends: dict[str, tuple[str, ...]] = DEPENDS, only: set[str] | None
     return [x for x in out if x]
 
 
+def run_modules(modules: dict[str, Callable[[], object]], depends: dict[str, tuple[str, ...]] = DEPENDS, only: set[str] | None = None, first: tuple[str, ...] = FIRST_BATCH, side_by_side: int = 4) -> dict[str, tuple[str, str]]:
+    """Run modules, those of one layer side by side: name -> (DONE, ""), (FAILED, the error) or (SKIPPED, what failed before).
+
+    The modules named first run before all others.  A failure stays with its module and those that read from it, directly
+    or not; what doesn't depend on it still runs.  only: the modules to run, as in a rerun; others count as done.
+    """
+    wanted = {m for m in modules if only is None or m in only}
+    plan = [[m for m in first if m in wanted], *layers({m: on for m, on in depends.items() if m not in first}, wanted)]
+    plan.append(sorted(wanted.difference(*plan)))  # those that nothing is known of
+    found: dict[str, tuple[str, str]] = {}
+
+    def run(name: str) -> tuple[str, str]:
+        broken = sorted(d for d in depends.get(name, ()) if found.get(d, (DONE,))[0] != DONE)
+        if broken:
+            return SKIPPED, ", ".join(broken)
+        try:
+            modules[name]()
+        except Exception as error:  # whatever a module raises is its own
+            return FAILED, f"{type(error).__name__}: {error}"
+        return DONE, ""
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        for layer in plan:
+            found.update(zip(layer, list(pool.map(run, layer)), strict=True))
+    return found
+
+
 def tfidf_keywords(chunks: DataFrame, k: int = 5, digits: int = 6) -> DataFrame:
     """chunk_id, keyword, score, rank: the k tokens of each chunk with the highest term frequency times idf."""
     n = chunks.count()
@@ -115,7 +149,7 @@ def assign_centroids(vectors: DataFrame, centroids: DataFrame, digits: int = 9)
     return nearest.select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("cluster"))
 
 
-def summary_tree(vectors: DataFrame, group: str = "doc_id", method: str = "gmm", fan_out: int = 8, max_layers: int = 6) -> DataFrame:
+def summary_tree(vectors: DataFrame, group: str = "doc_id", method: str = "gmm", fan_out: int = 8) -> DataFrame:
     """group, node_id, layer, embedding, children, chunks: a tree over each group's vectors (chunk_id, embedding).
 
     Layer 1 clusters a group's chunks, each further layer the nodes below, until fan_out nodes or fewer are left under one
@@ -129,9 +163,9 @@ def summary_tree(vectors: DataFrame, group: str = "doc_id", method: str = "gmm",
         below = [(None, np.asarray(v, float), [c]) for c, v in zip(frame["chunk_id"], frame["embedding"], strict=True) if v is not None]
         rows = []
         if len(below) >= 2:
-            for layer in range(1, max_layers + 1):
+            for layer in count(1):
                 x = np.stack([b[1] for b in below])
-                found = [list(range(len(below)))] if len(below) <= fan_out or layer == max_layers else clusters(x, method)
+                found = [list(range(len(below)))] if len(below) <= fan_out else clusters(x, method)
                 if len(found) >= len(below):
                     found = [list(range(len(below)))]
                 above = []

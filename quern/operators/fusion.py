@@ -55,11 +55,11 @@ def overlap_score(query_tokens: Column, tokens: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens)) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def diversify(candidates: DataFrame, k: int, balance: float = 0.7, normalise: bool = False) -> DataFrame:
+def diversify(candidates: DataFrame, k: int, balance: float = 0.7, normalise: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The k most relevant and mutually different of each query (maximal marginal relevance), with their rank.
 
     candidates: query_id, chunk_id, score, tokens and, optionally, embedding.  Similarity is cosine if every candidate of
-    a query has an embedding, else Jaccard of tokens.  A query's pool is bounded by the fusion before.
+    a query has an embedding, else Jaccard of tokens.  Columns named in carry come along.  A query's pool is bounded by the fusion before.
     """
     id_type, q_type = (candidates.schema[c].dataType.simpleString() for c in ("chunk_id", "query_id"))
     has = "embedding" in candidates.columns
@@ -77,11 +77,12 @@ def diversify(candidates: DataFrame, k: int, balance: float = 0.7, normalise: bo
             value[chosen] = -np.inf
             chosen.append(int(np.argmax(value)))
             worst = np.maximum(worst, alike[:, chosen[-1]])
-        out = pool.iloc[chosen][["query_id", "chunk_id", "score"]].reset_index(drop=True)
+        out = pool.iloc[chosen][["query_id", "chunk_id", "score", *carry]].reset_index(drop=True)
         out["rank"] = np.arange(1, len(out) + 1, dtype="int32")
         return out
 
-    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {q_type}, chunk_id {id_type}, score double, rank int")
+    more = "".join(f"{c} {candidates.schema[c].dataType.simpleString()}, " for c in carry)
+    return candidates.groupBy("query_id").applyInPandas(pick, f"query_id {q_type}, chunk_id {id_type}, score double, {more}rank int")
 
 
 def similarities(pool: pd.DataFrame, has_embedding: bool) -> np.ndarray:

@@ -121,12 +121,14 @@ def delete_document(graph: tuple[DataFrame, DataFrame, DataFrame], gone: DataFra
 def graph_hash(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """kb_id, hash: 16 hex digits of a digest of the sorted names and undirected relations.
 
-    Rows are hashed first and only their digests gathered, so a knowledge base gathers eight bytes a row.
+    Rows' digests are sorted and hashed by their first four digits, and those 65,536 hashes at most once more in order, so
+    that no task gathers a whole knowledge base.
     """
     pair = F.concat_ws("|", F.least("source", "target"), F.greatest("source", "target"), "type")
     rows = entities.select("kb_id", F.concat(F.lit("e|"), "name").alias("x")).unionByName(relations.select("kb_id", F.concat(F.lit("r|"), pair).alias("x"))).distinct()
-    bits = rows.groupBy("kb_id").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2("x", 256), 1, 12), 16, 10).cast("decimal(38,0)")).alias("s"), F.min(F.sha2("x", 256)).alias("m"))
-    return bits.select("kb_id", F.substring(F.sha2(F.concat_ws("|", "n", "s", "m"), 256), 1, 16).alias("hash"))
+    whole = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), ""), 256)
+    parts = rows.select("kb_id", F.sha2("x", 256).alias("h")).groupBy("kb_id", F.substring("h", 1, 4).alias("p")).agg(whole("h").alias("h"))
+    return parts.groupBy("kb_id").agg(F.substring(whole(F.concat("p", "h")), 1, 16).alias("hash"))
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:

@@ -20,10 +20,12 @@ def repeating_lines(pages: DataFrame, group: str, page: str, text: str = "text",
 
 
 def without_lines(pages: DataFrame, repeated: DataFrame, group: str, text: str = "text") -> DataFrame:
-    """pages whose text lacks the repeated lines of their group at either end."""
+    """pages whose text lacks the repeated lines of their group at either end: its first and its last line that isn't blank."""
     by = repeated.groupBy(group).agg(F.collect_set("line").alias("_gone"))
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col("_gone"), F.array()), x))
+    filled = F.transform(lines, lambda x: F.trim(x) != "")
+    first, last = F.array_position(filled, True), F.size(lines) + 1 - F.array_position(F.reverse(filled), True)
+    kept = F.filter(lines, lambda x, i: ~(F.array_contains(F.coalesce(F.col("_gone"), F.array().cast("array<string>")), x) & ((i + 1 == first) | (i + 1 == last))))
     return pages.join(by, group, "left").withColumn(text, F.array_join(kept, "\n")).drop("_gone")
 
 

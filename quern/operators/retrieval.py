@@ -116,12 +116,12 @@ def entities_to_chunks(entity_hits: DataFrame, entities: DataFrame, k: int) -> D
     return best(entity_hits.join(refs, "name").groupBy("query_id", "chunk_id").agg(F.max("similarity").alias("score")), k)
 
 
-def tree_search(nodes: DataFrame, queries: DataFrame, trees: int = 2, beam: int = 3, max_depth: int = 12, digits: int = 6) -> DataFrame:
+def tree_search(nodes: DataFrame, queries: DataFrame, trees: int = 2, beam: int = 3, max_depth: int | None = None, digits: int = 6) -> DataFrame:
     """query_id, chunk_id, path, score: beam search down a summary tree.
 
     nodes: node_id, layer, embedding, children (array of node_id), chunks (array of chunk_id).  The trees best roots of a
     query start; each step keeps the beam best children of a query, each once and under its nearest parent; nodes of
-    layer 1 or without children end a path and give their chunks.
+    layer 1 or without children end a path and give their chunks, and so do those at max_depth, if one is given.
     """
     from quern.storage import settle
 
@@ -130,9 +130,9 @@ def tree_search(nodes: DataFrame, queries: DataFrame, trees: int = 2, beam: int
     frontier = first.select("query_id", F.col("chunk_id").alias("node_id"), "score", F.array("chunk_id").alias("path"))
     slim = nodes.select("node_id", "layer", "children", "embedding")
     done, seen = [], None
-    for _ in range(max_depth):
+    while True:
         at = settle(frontier.join(slim, "node_id"), "tree-frontier")
-        leaf = (F.col("layer") <= 1) | (F.coalesce(F.size("children"), F.lit(0)) == 0)
+        leaf = (F.col("layer") <= 1) | (F.coalesce(F.size("children"), F.lit(0)) == 0) | F.lit(len(done) + 1 == max_depth)
         done.append(at.filter(leaf).select("query_id", "node_id", "score", "path"))
         visited = at.select("query_id", "node_id")
         seen = visited if seen is None else seen.unionByName(visited)

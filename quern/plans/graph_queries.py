@@ -147,7 +147,11 @@ def graph_delete_document(spark, d):
     return e.groupBy("kb_id").agg(F.count("*").alias("entities")).join(i.groupBy("kb_id").agg(F.count("*").alias("instances")), "kb_id")
 
 
-@query("graph_hash")
+@query(
+    "graph_hash",
+    f"""WITH {_R}, x AS (SELECT unnest(['A', 'N', 'R']) AS kb_id, 'e|part' || p_partkey AS x FROM part UNION SELECT kb_id, 'r|' || least(source, target) || '|' || greatest(source, target) || '|' || type FROM r),
+h AS (SELECT kb_id, sha256(x) AS h FROM x), p AS (SELECT kb_id, h[1:4] AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL) SELECT kb_id, sha256(string_agg(p || h, '' ORDER BY p))[1:16] AS hash FROM p GROUP BY kb_id""",
+)
 def graph_hash(spark, d):
     return graph.graph_hash(_entities(spark, d), _relations(spark, d))
 

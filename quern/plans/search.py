@@ -65,8 +65,7 @@ def search(store: Store, queries: DataFrame, config: SearchConfig | None = None)
         rich = fusion.rerank(rich.join(asked, "query_id"), fusion.overlap_score(F.col("_q"), F.col("tokens"))).drop("_q")
     if store.vectors is not None:
         rich = rich.join(store.vectors.select("chunk_id", "embedding"), "chunk_id", "left")
-    picked = fusion.diversify(rich, c.top_k, c.balance, c.normalise)
-    return picked.join(rich.select("query_id", "chunk_id", "paths", "content"), ["query_id", "chunk_id"])
+    return fusion.diversify(rich, c.top_k, c.balance, c.normalise, carry=("paths", "content"))  # a join back would plan the recall twice
 
 
 def context(results: DataFrame, config: SearchConfig | None = None) -> DataFrame:
