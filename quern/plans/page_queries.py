@@ -26,17 +26,8 @@ def merge_table_pages(spark, d):
     return pages.merge_table_pages(docs, "source", "doc_id")
 
 
-@query("strip_chart_debris", "SELECT doc_id, CAST(len(string_split(text, chr(10))) + 1 AS BIGINT) AS n_lines FROM documents WHERE NOT regexp_matches(text, '(?im)^\\s*(?:[-+]?\\d+(?:\\.\\d+)?(?:e[-+]?\\d+)?%?)?\\s*$')")
-def strip_chart_debris(spark, d):
-    """Documents without bare numbers or blank lines, to which a chart of four lines and one lone number are added."""
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike(r"(?imd)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?)?\s*$"))
-    broken = F.concat(F.lit("7\n"), "text", F.lit("\n0.5\n\n10\n56-layer"))
-    lines = docs.select("doc_id", F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
-    return pages.strip_chart_debris(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-
-
 @query(
-    "strip_chart_debris_all",
+    "strip_chart_debris",
     r"""WITH t AS (SELECT doc_id, string_split('7' || chr(10) || text || chr(10) || '0.5' || chr(10) || chr(10) || '10' || chr(10) || '56-layer', chr(10)) AS x FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM t),
 k AS (SELECT doc_id, n, regexp_matches(line, '(?i)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?|\d+-layer|iter\.\s*\(1e\d\)|(?:training |test )?error\s*\(%\))\s*$') AS debris, trim(line) = '' AS blank FROM l),
@@ -44,8 +35,8 @@ i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, debris OR blank ORDE
 r AS (SELECT doc_id, island, min(CASE WHEN debris THEN n END) AS first, max(n) AS last FROM i WHERE debris OR blank GROUP BY ALL)
 SELECT i.doc_id, count(*) AS n_lines FROM i LEFT JOIN r ON i.doc_id = r.doc_id AND i.island = r.island AND (debris OR blank) WHERE NOT coalesce(n >= first AND last - first >= 2, false) GROUP BY i.doc_id""",
 )
-def strip_chart_debris_all(spark, d):
-    """strip_chart_debris over all documents, with the same chart and lone number added."""
+def strip_chart_debris(spark, d):
+    """All documents, to which a chart of four lines and one lone number are added."""
     broken = F.concat(F.lit("7\n"), "text", F.lit("\n0.5\n\n10\n56-layer"))
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(broken, "\n")).alias("line_no", "line"))
     return pages.strip_chart_debris(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"))

@@ -313,15 +313,8 @@ def align_overlap(spark, d):
     return _docs(spark, d).select("doc_id", text.align_overlap(F.col("text")).alias("tail"))
 
 
-@query("split_keep_separator", "SELECT doc_id, CAST(len([x for x in string_split(text, '. ') if x <> '']) AS INTEGER) AS parts FROM documents WHERE NOT starts_with(text, '. ') AND NOT ends_with(text, '. ') AND text NOT LIKE '%. . %'")
+@query("split_keep_separator", "SELECT doc_id, CAST(len(string_split(text, '. ')) - CASE WHEN text = '' OR starts_with(text, '. ') THEN 1 ELSE 0 END AS INTEGER) AS parts FROM documents")
 def split_keep_separator(spark, d):
-    plain = _docs(spark, d).filter(~F.col("text").startswith(". ") & ~F.col("text").endswith(". ") & ~F.contains("text", F.lit(". . ")))
-    return plain.select("doc_id", F.size(text.split_keep_separator(F.col("text"), ". ")).alias("parts"))
-
-
-@query("split_keep_separator_all", "SELECT doc_id, CAST(len(string_split(text, '. ')) - CASE WHEN text = '' OR starts_with(text, '. ') THEN 1 ELSE 0 END AS INTEGER) AS parts FROM documents")
-def split_keep_separator_all(spark, d):
-    """split_keep_separator over all documents."""
     return _docs(spark, d).select("doc_id", F.size(text.split_keep_separator(F.col("text"), ". ")).alias("parts"))
 
 

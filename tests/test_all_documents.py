@@ -29,11 +29,11 @@ def parts(text):
     return len([p for p in [("" if i == 0 else ". ") + s for i, s in enumerate(text.split(". "))] if p])
 
 
-@pytest.mark.parametrize("name", ["strip_chart_debris_all", "split_keep_separator_all"])
+@pytest.mark.parametrize("name", ["strip_chart_debris", "split_keep_separator"])
 def test_all_documents(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
-    if name == "split_keep_separator_all":
+    if name == "split_keep_separator":
         assert got == {(i, parts(t)) for i, t in enumerate(TEXTS)}
     else:
         assert got == {(i, kept_lines(t)) for i, t in enumerate(TEXTS) if t is not None and kept_lines(t)}
