@@ -46,7 +46,8 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def normalize_unicode(c: Column) -> Column:
-    return _nfc(c)
+    """NFC; only texts with a character that it could change go to Python, all below U+0300 are in that form."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\u02FF]"), c)), c)
 
 
 def remove_zero_width(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import count
@@ -279,3 +280,70 @@ def embed(texts: DataFrame, embedder=None, column: str = "content", to: str = "e
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes)
     return texts.mapInPandas(run, f"{kinds}, `{to}` array<double>")
+
+
+def further_tags(content: Column, taken: Column, tags: Column, choice: Column | None = None, enough: int = 3, most: int = 3) -> Column:
+    """Tags beside those taken, asked for only where fewer than enough are: of choice, what is among the remaining tags.
+
+    choice: a model's answer as an array, in its order; without one, the remaining tags whose first word a text contains.
+    """
+    left = F.array_except(tags, taken)
+    default = F.filter(left, lambda t: F.contains(F.lower(content), F.lower(F.element_at(F.split(t, r"\s+"), 1))))
+    chosen = default if choice is None else F.filter(F.coalesce(choice, F.array().cast("array<string>")), lambda t: F.array_contains(left, t))
+    return F.when(F.size(taken) < enough, F.slice(chosen, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
+#: Kinds of files without running text, of which no tree is built.
+STRUCTURED = ("xls", "xlsx", "xlsm", "xlsb", "csv", "tsv")
+
+
+def skips_tree(suffix: Column, parser: Column | None = None, as_tables: Column | None = None) -> Column:
+    """Whether a file gets no tree: tables, or a PDF that is read as tables."""
+    kind = F.regexp_replace(F.lower(F.coalesce(suffix, F.lit(""))), r"^\.", "")
+    no = F.lit(False)
+    tables = F.coalesce(parser == "table", no) if parser is not None else no
+    if as_tables is not None:
+        tables = tables | F.coalesce(as_tables, no)
+    return kind.isin(*STRUCTURED) | ((kind == "pdf") & tables)
+
+
+def tree_ids(nodes: DataFrame, content: str = "content", doc: str = "doc_id", to: str = "chunk_id") -> DataFrame:
+    """nodes with 16 hex digits of xxhash64, seed 0, of content and document: the same whenever a tree is rebuilt."""
+    import xxhash
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: xxhash.xxh64(t.encode()).hexdigest())
+
+    return nodes.withColumn(to, digest(F.concat(F.coalesce(F.col(content), F.lit("")), F.col(doc).cast("string"))))
+
+
+def nested_trees(nodes: DataFrame, group: str = "doc_id") -> DataFrame:
+    """group, tree: each group's tree as JSON; nodes: group, node_id, title, description, children, chunks.
+
+    A node without children has source_chunk_ids, each once; others have children.  Roots are nodes that are nobody's child;
+    several go under one named (root).  A group is one document's tree; children that aren't there are left out.
+    """
+
+    def nest(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = {r.node_id: r for r in frame.sort_values("node_id").itertuples()}
+        kids = {n: [c for c in (r.children if r.children is not None else []) if c in rows] for n, r in rows.items()}
+        inner = {c for x in kids.values() for c in x}
+        made: dict = {}
+        roots, stack = [n for n in rows if n not in inner], []
+        for root in roots:
+            stack.append((root, False))
+            while stack:  # children first; trees may be deep
+                n, ready = stack.pop()
+                if not ready:
+                    stack += [(n, True), *((c, False) for c in kids[n] if c not in made)]
+                    continue
+                r = rows[n]
+                own = {"children": [made[c] for c in kids[n]]} if kids[n] else {"source_chunk_ids": list(dict.fromkeys(str(c) for c in (r.chunks if r.chunks is not None else [])))}
+                made[n] = {**own, "title": r.title, "description": r.description}
+        top = [made[n] for n in roots]
+        tree = top[0] if len(top) == 1 else {"title": "(root)", "children": top}
+        return pd.DataFrame({group: [frame[group].iloc[0]], "tree": [json.dumps(tree, ensure_ascii=False, separators=(",", ":"))]})
+
+    columns = nodes.select(group, "node_id", "title", "description", "children", "chunks")
+    return columns.groupBy(group).applyInPandas(nest, f"{group} {nodes.schema[group].dataType.simpleString()}, tree string")

@@ -269,3 +269,39 @@ def resolve(pairs: DataFrame) -> DataFrame:
     """alias, canonical: each component of candidate pairs (a, b) under its smallest name."""
     labels = connected_components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target")))
     return labels.filter("name <> component").select(F.col("name").alias("alias"), F.col("component").alias("canonical"))
+
+
+def merge_history(aliases: DataFrame) -> DataFrame:
+    """One row an alias that was merged: kb_id, entity_name, resolved_id, merged_into, merge_confidence, origin.
+
+    aliases: kb_id, canonical, aliases (an array).  Null or no aliases give no row.
+    """
+    one = aliases.select("kb_id", "canonical", F.explode("aliases").alias("entity_name"))
+    return one.select("kb_id", "entity_name", F.col("canonical").alias("resolved_id"), F.col("canonical").alias("merged_into"), F.lit(1.0).alias("merge_confidence"), F.lit("disambiguation_merger").alias("origin"))
+
+
+def list_communities(reports: DataFrame, k: int = 5) -> DataFrame:
+    """kb_id, community, title, summary, communities: each knowledge base's first k reports and how many it has."""
+    w = Window.partitionBy("kb_id")
+    counted = reports.groupBy("kb_id").agg(F.count("*").alias("communities"))
+    first = reports.withColumn("_r", F.row_number().over(w.orderBy("community"))).filter(F.col("_r") <= k)
+    return first.join(counted, "kb_id").select("kb_id", "community", "title", "summary", "communities")
+
+
+def unchanged(hashes: DataFrame, checkpoints: DataFrame, reports: DataFrame) -> DataFrame:
+    """kb_id, skip: whether communities need not be found again, as the graph's hash is the saved one and reports exist.
+
+    hashes and checkpoints: kb_id, hash, one row each; reports: kb_id.
+    """
+    saved = checkpoints.select("kb_id", F.col("hash").alias("_saved"))
+    some = reports.select("kb_id").distinct().withColumn("_some", F.lit(True))
+    known = hashes.join(saved, "kb_id", "left").join(some, "kb_id", "left")
+    return known.select("kb_id", F.coalesce((F.col("hash") == F.col("_saved")) & F.col("_some"), F.lit(False)).alias("skip"))
+
+
+def relations_or_chunks(relations: DataFrame, entities: DataFrame, chunks: DataFrame, extract) -> DataFrame:
+    """kb_id, source, target, weight of what communities are found in: the stored graph or, for a knowledge base without
+    entities, what extract (a function of chunks that gives source, target, weight and keeps kb_id) finds in its chunks."""
+    bare = chunks.join(entities.select("kb_id").distinct(), "kb_id", "left_anti")
+    columns = ("kb_id", "source", "target", "weight")
+    return relations.select(*columns).unionByName(extract(bare).select(*columns))

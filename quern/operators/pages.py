@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -92,3 +92,44 @@ def model_limits(models: DataFrame, patterns: DataFrame, ratio: float = 0.75, de
     found = models.join(F.broadcast(p), like, "left")  # a registry of models
     best = found.groupBy("model").agg(F.max_by("context", F.struct(F.col("pattern") == F.col("model"), F.char_length("pattern"), "pattern")).alias("context"))
     return best.select("model", F.greatest(F.lit(least), F.floor(F.coalesce("context", F.lit(default)) * ratio).cast("int")).alias("max_tokens"))
+
+
+# Patterns of captions and of lines that figures leave behind.
+CAPTION, CAPTION_HEAD = r"(?i)\bFigure\s+\d+\b", r"(?i)^Figure\s+\d+\b"
+MARGIN = r"(?i)^(?:arXiv:\s*\S+|\d{1,3}$)"
+TICKS = r"^[\d\s.()-]+$"
+
+
+def inside_figure(c: Column) -> Column:
+    """Whether a line right above a caption belongs to the figure: a label, a tick or a margin line, not prose."""
+    t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    n, words = F.char_length(t), F.size(F.split(t, r"(?U)\s+"))
+    ticks = t.rlike(TICKS) & (n <= 24) & (F.regexp_count(t, F.lit(r"\d")) >= 3)
+    prose = ((n >= 48) & (words >= 8)) | (t.rlike("[.。!?！]$") & (n >= 15)) | (words >= 7) | (n > 40)
+    return (t != "") & ~t.rlike(CAPTION_HEAD) & (t.rlike(MARGIN) | (~((n >= 48) & (words >= 8)) & (t.rlike(DEBRIS) | ticks)) | ~prose)
+
+
+def without_figure_lines(lines: DataFrame, doc: str = "doc_id", place: str = "line_no", line: str = "line") -> DataFrame:
+    """lines without those of a figure's inside that stand directly above a line that names a figure.
+
+    A line goes if the first later line that is a caption or isn't of a figure's inside is a caption.  Null and blank lines
+    are kept and end a figure.
+    """
+    after = Window.partitionBy(doc).orderBy(F.desc(place)).rowsBetween(Window.unboundedPreceding, -1)
+    c = F.coalesce(line, F.lit(""))
+    marked = lines.withColumn("_in", inside_figure(c)).withColumn("_cap", c.rlike(CAPTION))
+    stops = marked.withColumn("_next", F.last(F.when(F.col("_cap") | ~F.col("_in"), F.col("_cap")), ignorenulls=True).over(after))
+    return stops.filter(~(F.col("_in") & F.coalesce("_next", F.lit(False)))).select(*lines.columns)
+
+
+def image_size(c: Column) -> tuple[Column, Column]:
+    """Width and height in the heads of PNG and GIF files, null for others."""
+    number = lambda *at: F.conv(F.concat(*(F.hex(F.substring(c, i, 1)) for i in at)), 16, 10).cast("int")
+    head = F.hex(F.substring(c, 1, 8))
+    png, gif = (head == "89504E470D0A1A0A") & (F.octet_length(c) >= 24), head.startswith("474946383") & (F.octet_length(c) >= 10)
+    return tuple(F.when(png, number(*p)).when(gif, number(*g)) for p, g in (((17, 18, 19, 20), (8, 7)), ((21, 22, 23, 24), (10, 9))))
+
+
+def is_icon(width: Column, height: Column, n_bytes: Column, side: int = 64, least_bytes: int = 512) -> Column:
+    """Whether an image is too small to mean anything: both sides under side, or few bytes where its size isn't known."""
+    return F.when(width.isNotNull() & height.isNotNull(), (width < side) & (height < side)).otherwise(n_bytes < least_bytes)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("problem", problem(F.col("standard_question"), F.col("similar_questions"), F.col("negative_questions"), F.col("answers")))
 
 
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of the first sheets of workbooks under path, whose first rows name the fields, with a column problem."""
+    from quern.sources.files import read_sheets
+
+    names = [a for found in ALIASES.values() for a in found]
+
+    def rows(frames):
+        for f in frames:
+            for raw in f["content"]:
+                sheets = read_sheets(raw)
+                head, *body = (sheets[0][1] if sheets else []) or [[]]
+                at = {h.strip().lstrip("\ufeff"): i for i, h in reversed(list(enumerate(head)))}
+                yield pd.DataFrame([[r[at[n]] if n in at and at[n] < len(r) else None for n in names] for r in body], columns=names, dtype=object)
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, ", ".join(f"`{n}` string" for n in names))
+    out = entries(found)
+    return out.withColumn("problem", problem(F.col("standard_question"), F.col("similar_questions"), F.col("negative_questions"), F.col("answers")))
+
+
 JSON = "array<struct<standard_question:string,similar_questions:array<string>,negative_questions:array<string>,answers:array<string>,answer_strategy:string,tags:array<string>>>"
 
 
