@@ -64,14 +64,21 @@ def merge_table_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page_n
     return runs.groupBy(doc, "_run").agg(F.min(page).alias(page), F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias(text)).drop("_run")
 
 
-#: What is left of charts in extracted text: bare numbers, scales, layers and error axes.
+# What is left of charts in extracted text: bare numbers, scales, layers and error axes; rows of ticks.
 DEBRIS = r"(?i)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?|\d+-layer|iter\.\s*\(1e\d\)|(?:training |test )?error\s*\(%\))\s*$"
+TICKS = r"^[\d\s.()-]+$"
+
+
+def debris(c: Column) -> Column:
+    """Whether a line is left of a chart; so are short rows of at least three digits, such as an axis's ticks."""
+    t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return t.rlike(DEBRIS) | (t.rlike(TICKS) & (F.char_length(t) <= 24) & (F.regexp_count(t, F.lit(r"\d")) >= 3))
 
 
 def strip_chart_debris(lines: DataFrame, doc: str = "doc_id", place: str = "line_no", line: str = "line", least: int = 3) -> DataFrame:
     """lines without runs of at least that many debris or blank lines that begin with a debris line."""
     w = Window.partitionBy(doc).orderBy(place)
-    marked = lines.withColumn("_d", F.col(line).rlike(DEBRIS)).withColumn("_b", F.trim(line) == "").withColumn("_in", F.col("_d") | F.col("_b"))
+    marked = lines.withColumn("_d", debris(F.col(line))).withColumn("_b", F.trim(line) == "").withColumn("_in", F.col("_d") | F.col("_b"))
     runs = marked.withColumn("_run", F.sum((~(F.col("_in") & F.coalesce(F.lag("_in").over(w), F.lit(False)))).cast("int")).over(w))
     g = Window.partitionBy(doc, "_run").orderBy(place)
     started = runs.withColumn("_seen", F.max(F.col("_d").cast("int")).over(g))  # blank lines before a run's first debris stay
@@ -97,16 +104,14 @@ def model_limits(models: DataFrame, patterns: DataFrame, ratio: float = 0.75, de
 # Patterns of captions and of lines that figures leave behind.
 CAPTION, CAPTION_HEAD = r"(?i)\bFigure\s+\d+\b", r"(?i)^Figure\s+\d+\b"
 MARGIN = r"(?i)^(?:arXiv:\s*\S+|\d{1,3}$)"
-TICKS = r"^[\d\s.()-]+$"
 
 
 def inside_figure(c: Column) -> Column:
     """Whether a line right above a caption belongs to the figure: a label, a tick or a margin line, not prose."""
     t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
     n, words = F.char_length(t), F.size(F.split(t, r"(?U)\s+"))
-    ticks = t.rlike(TICKS) & (n <= 24) & (F.regexp_count(t, F.lit(r"\d")) >= 3)
     prose = ((n >= 48) & (words >= 8)) | (t.rlike("[.。!?！]$") & (n >= 15)) | (words >= 7) | (n > 40)
-    return (t != "") & ~t.rlike(CAPTION_HEAD) & (t.rlike(MARGIN) | (~((n >= 48) & (words >= 8)) & (t.rlike(DEBRIS) | ticks)) | ~prose)
+    return (t != "") & ~t.rlike(CAPTION_HEAD) & (t.rlike(MARGIN) | (~((n >= 48) & (words >= 8)) & debris(t)) | ~prose)
 
 
 def without_figure_lines(lines: DataFrame, doc: str = "doc_id", place: str = "line_no", line: str = "line") -> DataFrame:

@@ -30,7 +30,7 @@ def merge_table_pages(spark, d):
     "strip_chart_debris",
     r"""WITH t AS (SELECT doc_id, string_split('7' || chr(10) || text || chr(10) || '0.5' || chr(10) || chr(10) || '10' || chr(10) || '56-layer', chr(10)) AS x FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM t),
-k AS (SELECT doc_id, n, regexp_matches(line, '(?i)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?|\d+-layer|iter\.\s*\(1e\d\)|(?:training |test )?error\s*\(%\))\s*$') AS debris, trim(line) = '' AS blank FROM l),
+k AS (SELECT doc_id, n, regexp_matches(line, '(?i)^\s*(?:[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?%?|\d+-layer|iter\.\s*\(1e\d\)|(?:training |test )?error\s*\(%\))\s*$') OR (regexp_matches(line, '^[\d\s.()-]+$') AND length(regexp_replace(line, '^\s+|\s+$', '', 'g')) <= 24 AND length(regexp_replace(line, '\D', '', 'g')) >= 3) AS debris, trim(line) = '' AS blank FROM l),
 i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, debris OR blank ORDER BY n) AS island FROM k),
 r AS (SELECT doc_id, island, min(CASE WHEN debris THEN n END) AS first, max(n) AS last FROM i WHERE debris OR blank GROUP BY ALL)
 SELECT i.doc_id, count(*) AS n_lines FROM i LEFT JOIN r ON i.doc_id = r.doc_id AND i.island = r.island AND (debris OR blank) WHERE NOT coalesce(n >= first AND last - first >= 2, false) GROUP BY i.doc_id""",

@@ -6,9 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quern.operators.pages import DEBRIS
+from quern.operators.pages import DEBRIS, TICKS
 
-TEXTS = [None, "", " ", "\n", "a\n\nb", "\n\n5\n6", "5\n\n7%\n\nx\n3\n4\ny", "x\n\n\n", "1\n2\n3", "title\n\n3\n-layer", "Error (%)\n0.1\n1e-3\nend", ". a", "a. ", ". . a", "a. . b. c", ". ", "a.b", "a. . "]
+TEXTS = [None, "", " ", "\n", "a\n\nb", "\n\n5\n6", "5\n\n7%\n\nx\n3\n4\ny", "x\n\n\n", "1\n2\n3", "title\n\n3\n-layer", "0 1 2 3\n(4) 5.0 6\n 10 20 \nx", "1 2\n1234 5678 9012 3456 7890\n1 2\n7", "Error (%)\n0.1\n1e-3\nend", ". a", "a. ", ". . a", "a. . b. c", ". ", "a.b", "a. . "]
+
+
+def debris(line):
+    t = line.strip()
+    return bool(re.match(DEBRIS, t) or (re.match(TICKS, t) and len(t) <= 24 and len(re.findall(r"\d", t)) >= 3))
 
 
 def kept_lines(text):
@@ -16,7 +21,7 @@ def kept_lines(text):
     out, i = 0, 0
     while i < len(lines):
         j = i
-        while j < len(lines) and (re.match(DEBRIS, lines[j]) or (j > i and not lines[j].strip(" "))):
+        while j < len(lines) and (debris(lines[j]) or (j > i and not lines[j].strip(" "))):
             j += 1
         out += 1 if j == i else (j - i if j - i < 3 else 0)
         i = max(j, i + 1)
