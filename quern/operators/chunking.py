@@ -181,11 +181,11 @@ def overlap_tail(text: str, overlap: int) -> str:
 
 
 def merge_small(text: str, chunks: list[Chunk], c: Config) -> list[Chunk]:
-    """Neighbours of one heading joined where one is small and both fit."""
+    """Neighbours of one heading joined where the first, with what joined it before, is small and both fit."""
     small, out = max(200, c.size // 2), []
     for x in chunks:
         last = out[-1] if out else None
-        if last and last.heading_path == x.heading_path and min(last.tokens, x.tokens) < small and last.end == x.start and last.tokens + x.tokens <= c.size:
+        if last and last.heading_path == x.heading_path and last.tokens < small and last.end == x.start and last.tokens + x.tokens <= c.size:
             out[-1] = Chunk(last.start, x.end, text[last.start : x.end], x.heading_path)
         else:
             out.append(x)

@@ -61,3 +61,14 @@ def test_frame(spark):
     got = c.chunk_documents(docs, c.Config(size=100)).collect()
     assert {r.doc_id for r in got} == {1, 3}
     assert sum(r.doc_id == 3 for r in got) == 2
+
+
+def test_small_sections_join_the_next():
+    config = c.Config(size=1000)
+    large, little = "word " * 400, "word " * 20
+    text, at, chunks = large + little + little + large, 0, []
+    for part in (large, little, little, large):
+        chunks.append(c.Chunk(at, at + len(part), part))
+        at += len(part)
+    got = c.merge_small(text, chunks, config)
+    assert [x.content for x in got] == [large, little + little + large]  # a small one after a large one isn't joined to it
