@@ -32,11 +32,11 @@ def community_unchanged(spark, d):
     return graph.unchanged(n.select(F.col("n_name").alias("kb_id"), F.col("n_name").alias("hash")), saved, reports)
 
 
-@query("further_tags", "SELECT doc_id, CASE WHEN len(t) >= 1 THEN '' ELSE array_to_string([x for x in ['web', 'the end', 'que', 'und so'] if NOT list_contains(t, x) AND contains(lower(text), string_split(x, ' ')[1])][1:3], ',') END AS tags FROM (SELECT doc_id, text, [x for x in ['web', 'the end', 'que', 'und so'] if contains(lower(text), x)] AS t FROM documents WHERE text IS NOT NULL)")
+@query("further_tags", "SELECT doc_id, CASE WHEN len(t) >= 1 THEN '' ELSE array_to_string([x for x in ['web', 'the end', 'que', 'und so'] if NOT list_contains(t, x) AND contains(lower(text), string_split(x, ' ')[1])][1:3], ',') END AS tags FROM (SELECT doc_id, text, [x for x in ['web', 'the end', 'que', 'und so'] if contains(lower(text), x)] AS t FROM documents)")
 def further_tags(spark, d):
     """More tags for documents that contain none of them whole."""
     tags = F.array(*map(F.lit, ("web", "the end", "que", "und so")))
-    docs = table(spark, d, "documents").filter("text is not null").withColumn("taken", enrich.matching_tags(F.col("text"), tags))
+    docs = table(spark, d, "documents").withColumn("taken", enrich.matching_tags(F.col("text"), tags))
     return docs.select("doc_id", F.array_join(enrich.further_tags(F.col("text"), F.col("taken"), tags, enough=1), ",").alias("tags"))
 
 
@@ -73,8 +73,8 @@ def figure_lines(spark, d):
     return pages.without_figure_lines(lines).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query("model_rerank", "SELECT item_id, CASE WHEN text = '' THEN 0.0 ELSE length(text[1:768]) END::DOUBLE AS score FROM benchmark WHERE text IS NOT NULL")
+@query("model_rerank", "SELECT item_id, coalesce(length(text[1:768]), 0)::DOUBLE AS score FROM benchmark")
 def model_rerank(spark, d):
     """A stand-in for a model scores by the length of what it is given."""
-    asked = table(spark, d, "benchmark").filter("text is not null").select("item_id", F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("content"))
+    asked = table(spark, d, "benchmark").select("item_id", F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("text").alias("content"))
     return seams.rerank_scores(asked, lambda q, texts: {"results": [{"index": i, "score": len(t)} for i, t in reversed(list(enumerate(texts)))]}).select("item_id", "score")
