@@ -100,6 +100,23 @@ def test_scores(spark, order, size, slot, hot):
     assert rounded(got) == brute(some_rows(), order, hot)[0]
 
 
+@pytest.mark.parametrize(("order", "size", "slot", "crowd"), [(3, 300, 400, 90), (3, 1 << 20, 150, 20), (2, 3000, 1 << 20, 0), (4, 3000, 150, 5)])
+def test_crowds_score_as_others(spark, order, size, slot, crowd):
+    """Histories that are dealt singly, those of starts among them, have the weights that they have in one slot."""
+    docs = spark.createDataFrame(some_rows(), "doc_id long, text string").repartition(3)
+    got = lm.score(docs, order=order, block_bytes=size, slot_tokens=slot, crowd=crowd).collect()
+    assert rounded(got) == brute(some_rows(), order)[0]
+
+
+def test_no_switch_by_size(spark):
+    """The query's scores of a corpus in which one word occurs over 500,000 times are the model's."""
+    r = random.Random(7)
+    rows = [(i, "a " * 6000 + " ".join(r.choice(["a", "b", "c", "x%d" % r.randrange(40)]) for _ in range(200))) for i in range(100)]
+    assert sum(t.split().count("a") for i, t in rows if rest(i) != 0) > 500_000
+    got = sorted(lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda g: str(g.doc_id))
+    assert [g.score for g in got] == pytest.approx([x[-1] for x in brute(rows, 3)[0]], rel=1e-7)
+
+
 def test_distribution():
     """For any history, the chances of all words, the end and one unknown word add up to one."""
     rows = some_rows()
