@@ -4,7 +4,8 @@ fit() draws at most PER_CLASS labelled rows of each class (smallest hash of the
 it takes PIECES runs of PIECE characters, evenly spread over the whole text), builds one zstandard dictionary from half of the good ones and one from half of the bad ones, and calibrates
 the normalised size difference on the other halves by logistic regression, weighted to the classes' true frequencies.
 The difference is taken against that of a neutral text of the same length, and normalised by length plus STEADY bytes,
-so that a short text, which tells little, has a score near the share of good texts.
+so that a short text, which tells little, has a score near the share of good texts.  The sample goes to one task, as
+bytes; the driver gets the dictionaries and the coefficients only.
 score() compresses every whole text with both, in runs of RUN bytes so that a text's own repetition cannot stand in for
 a dictionary.  Labels, language, source and id are never inputs of a score.
 
@@ -16,6 +17,7 @@ is that share (one half without labels).  Repeated rows repeat; only the columns
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,9 +58,9 @@ class Sizes:
 
         self.good, self.bad = (compressor(x).compress for x in (model.good, model.bad))
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
+    def evidence(self, text: str | bytes | None) -> tuple[float, float]:
         """(size with the bad dictionary - size with the good one, bytes), both per byte plus STEADY."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = _raw(text)
         runs = [raw[i : i + RUN] for i in range(0, len(raw), RUN)]
         return sum(len(self.bad(r)) - len(self.good(r)) for r in runs) / (len(raw) + STEADY), len(raw) / (len(raw) + STEADY)
 
@@ -72,24 +74,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spread = f"array_join(transform(sequence(0, {PIECES - 1}), i -> substring(_text, cast(i * (char_length(_text) / {PIECES}) as int) + 1, {PIECE})), '')"
     texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).filter("_text is not null")
     texts = texts.withColumn("_text", F.expr(f"if(octet_length(_text) <= {SAMPLE_BYTES}, _text, {spread})"))
-    rows = texts.join(wanted, F.col("_own") == F.col("_id")).groupBy("_id", "quality").agg(F.min("_text").alias("_text")).collect()
-    sample = {q: [r["_text"] for r in sorted(rows, key=lambda r: str(r["_id"])) if r["quality"] == q] for q in (0, 1)}
+    sample = texts.join(wanted, F.col("_own") == F.col("_id")).groupBy("_id", "quality").agg(F.min("_text").alias("_text")).select("_id", "quality", F.col("_text").cast("binary").alias("_text"))
     prior = math.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
+
+    def learn(table: pa.Table) -> pa.Table:
+        ids, quality = (table.column(c).to_pylist() for c in ("_id", "quality"))
+        order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
+        found = _learnt({q: [table.column("_text")[i] for i in order if quality[i] == q] for q in (0, 1)}, share, prior)
+        shared.trim()
+        return pa.table({"good": pa.array([found.good], pa.binary()), "bad": pa.array([found.bad], pa.binary()), "slope": [found.slope], "neutral": [found.neutral]})
+
+    found = sample.groupBy().applyInArrow(learn, "good binary, bad binary, slope double, neutral double").first()  # 2 * PER_CLASS rows at most
+    return Model(bytes(found["good"]), bytes(found["bad"]), found["slope"], found["neutral"], prior) if found else Model(b"", b"", 0.0, 0.0, prior)
+
+
+def _learnt(sample: dict[int, list[pa.Scalar]], share: dict[int, int], prior: float) -> Model:
+    """The model of a sample's texts by class, as binary scalars."""
     if min(map(len, sample.values())) < LEAST:
         return Model(b"", b"", 0.0, 0.0, prior)
-    good, bad = (_dictionary(sample[q][::2]) for q in (1, 0))
+    good, bad = (_dictionary(t.as_py() for t in sample[q][::2]) for q in (1, 0))
     if not good or not bad:
         return Model(b"", b"", 0.0, 0.0, prior)
     sizes = Sizes(Model(good, bad, 0.0, 0.0, 0.0))
-    x = np.array([sizes.evidence(t) for q in (0, 1) for t in sample[q][1::2]])
+    x = np.array([sizes.evidence(t.as_py()) for q in (0, 1) for t in sample[q][1::2]])
     y = np.repeat([0.0, 1.0], [len(sample[q][1::2]) for q in (0, 1)])
     w = np.where(y == 1, share[1] / max(1, y.sum()), share[0] / max(1, (1 - y).sum()))
     return Model(good, bad, *_logistic(x, y, w / w.mean(), prior), prior)
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    runs = [r[i : i + 2 * RUN] for r in raw for i in range(0, len(r), 2 * RUN)]
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def _dictionary(texts: Iterable[str | bytes]) -> bytes:
+    runs = [r[i : i + 2 * RUN] for r in map(_raw, texts) for i in range(0, len(r), 2 * RUN)]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, runs)) // 8)), runs).as_bytes()
     except zstandard.ZstdError:  # too little text

@@ -1,4 +1,7 @@
-"""Held-out accuracy, and defined results at the edges."""
+"""Held-out accuracy, memory, and defined results at the edges."""
+
+import random
+import tracemalloc
 
 from quern.llm import quality_classifier as q
 
@@ -25,3 +28,20 @@ def test_edges(spark):
     bare = q.fit(docs.limit(0), labels.limit(0))
     assert {r.score for r in q.score(docs, bare).collect()} == {0.5}
     assert q.score(docs.limit(0), model).count() == 0
+
+
+def test_driver_gets_the_model_only(spark):
+    """The sample's texts, whose wide characters take four bytes each in Python, stay out of the driver."""
+    r = random.Random(2)
+    letters = [chr(c) for c in range(0x1F600, 0x1F640)]
+    text = lambda some: "".join(r.choices([*some, " "], k=6000))
+    rows = [(i, text(letters[:40] if i % 2 else letters[24:])) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        model = q.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2_000_000  # before: 4.8 MB of text and more
+    assert sum(x.predicted == x.doc_id % 2 for x in q.score(docs, model).collect()) >= 295
