@@ -78,6 +78,12 @@ def test_candidates_find_all(spark):
     assert {(p.a, p.b) for p in graph.candidates(df).collect()} == want
 
 
+def test_alias_that_is_a_name_too(spark):
+    e = spark.createDataFrame([("k", "a", "t", ["b"]), ("k", "b", "t", ["c"])], "kb_id string, name string, type string, aliases array<string>")
+    rows = spark.createDataFrame([("k", 1, "b"), ("k", 2, "c"), ("k", 3, "a"), ("k", 4, "d"), ("l", 5, "b")], "kb_id string, doc_id long, name string")
+    assert {r.doc_id: r.name for r in graph.canonical(rows, e, "name").collect()} == {1: "a", 2: "b", 3: "a", 4: "d", 5: "b"}
+
+
 def test_layers():
     assert enrich.layers({"a": ("b",), "b": (), "c": ("a",)}) == [["b"], ["a"], ["c"]]
     assert enrich.layers({"a": ("b",), "b": ()}, only={"a"}) == [["a"]]
