@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import count
@@ -189,10 +190,12 @@ def clusters(x: np.ndarray, method: str, threshold: float = 0.1, most: int = 64)
     if method == "ahc":
         return nearest_centroids(x, ward(x, most))
     y = reduce_dimensions(x)
-    fits = []
+    best = None  # the others' shares, a number for each row and Gaussian, go at once
     for n in range(1, min(most, len(x)) + 1):
-        fits.append((bic(p := mixture(y, n), y), n, p))
-    share = min(fits, key=lambda f: (f[0], f[1]))[2][3]
+        fit = mixture(y, n)
+        if best is None or (bic(fit, y), n) < best[:2]:
+            best = bic(fit, y), n, fit[3]
+    share = best[2]
     found = [[i for i in range(len(x)) if share[i, c] > threshold or share[i].argmax() == c] for c in range(share.shape[1])]
     return [f for f in found if f]
 
@@ -250,22 +253,81 @@ def nearest_centroids(x: np.ndarray, found: list[list[int]], rounds: int = 5) ->
 
 def ward(x: np.ndarray, most: int = 64) -> list[list[int]]:
     """Ward's merges, cut where the next merge costs the most more than the last, into that many clusters at most."""
-    live = {i: (x[i], 1, [i]) for i in range(len(x))}
-    steps, costs = [], []
-    while len(live) > 1:
-        keys = sorted(live)
-        m, n = np.stack([live[k][0] for k in keys]), np.array([live[k][1] for k in keys], float)
-        cost = ((m[:, None] - m[None]) ** 2).sum(axis=2) * (n[:, None] * n[None] / (n[:, None] + n[None]))
-        cost[np.tril_indices(len(keys))] = np.inf
-        i, j = divmod(int(cost.argmin()), len(keys))
-        steps.append(sorted(v[2] for v in live.values()))
-        costs.append(float(cost[i, j]))
-        a, b = live.pop(keys[i]), live.pop(keys[j])
-        live[keys[i]] = ((a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], sorted(a[2] + b[2]))
+    merges, costs = ward_merges(x)
     if len(costs) < 2:
         return [list(range(len(x)))]
     gaps = np.diff(np.sqrt(costs))
-    return steps[max(int(gaps.argmax()) + 1, len(x) - most)]
+    parts = {i: [i] for i in range(len(x))}
+    for i, j in merges[: max(int(gaps.argmax()) + 1, len(x) - most)]:
+        parts[i] += parts.pop(j)
+    return sorted(map(sorted, parts.values()))
+
+
+def ward_merges(x: np.ndarray) -> tuple[list[tuple[int, int]], list[float]]:
+    """The merges (i, j), i < j, of which i goes on, and their costs; equal costs go by i and j.
+
+    Each cluster keeps its nearest later one, so memory grows with the rows and time with their square.  A nearest one that
+    was merged leaves its cost as a lower bound, as merges only raise costs, and is looked for when that is the least of all.
+    Products of matrices choose what may be nearest; costs come from differences.
+    """
+    n = len(x)
+    if not np.isfinite(x).all():  # such costs come first
+        bad = int((~np.isfinite(x)).any(axis=1).argmax())
+        rest = [k for k in range(1, n) if k != bad]
+        return [(0, k) for k in ([bad] if bad else []) + rest], [math.nan] * (n - 1)
+    m, size, ids = np.array(x, float), np.ones(n), np.arange(n)
+    near, least, stale = np.zeros(n, int), np.full(n, np.inf), np.zeros(n, bool)
+    square = (m**2).sum(axis=1)
+
+    def exact(i: int, js: np.ndarray) -> np.ndarray:
+        return ((m[i] - m[js]) ** 2).sum(axis=1) * (size[i] * size[js] / (size[i] + size[js]))
+
+    def about(i: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of what i costs with rows from at on; dead ones cost without end."""
+        norms, other = square[i] + square[at:], size[at:]
+        share = size[i] * other / (size[i] + other)
+        cost, off = (norms - 2 * (m[at:] @ m[i])) * share, 1e-11 * norms * share
+        with np.errstate(invalid="ignore"):
+            return cost - off, cost + off
+
+    def look(i: int, low: np.ndarray, high: np.ndarray, at: int) -> None:
+        stale[i], least[i] = False, np.inf
+        if len(low) and np.isfinite(top := high.min()):
+            js = at + np.flatnonzero(low <= top)
+            found = exact(i, js)
+            near[i], least[i] = js[found.argmin()], found.min()
+
+    step = max(1, (1 << 21) // n)
+    for a in range(0, n - 1, step):
+        rows = slice(a, min(a + step, n - 1))
+        norms = square[rows, None] + square[None, a:]
+        cost, off = (norms - 2 * (m[rows] @ m[a:].T)) / 2, 0.5e-11 * norms
+        for r in range(len(cost)):
+            look(a + r, (cost[r] - off[r])[r + 1 :], (cost[r] + off[r])[r + 1 :], a + r + 1)
+    merges, costs = [], []
+    for left in range(n, 1, -1):
+        while stale[i := int(least.argmin())]:
+            look(i, *about(i, i + 1), i + 1)
+        j = int(near[i])
+        merges.append((int(ids[i]), int(ids[j])))
+        costs.append(float(least[i]))
+        m[i], size[i] = (m[i] * size[i] + m[j] * size[j]) / (size[i] + size[j]), size[i] + size[j]
+        square[i] = (m[i] ** 2).sum()
+        m[j], square[j], least[j], stale[j] = 0.0, np.inf, np.inf, False
+        stale |= ((near == i) | (near == j)) & np.isfinite(least)
+        low, high = about(i, 0)
+        look(i, low[i + 1 :], high[i + 1 :], i + 1)
+        ks = np.flatnonzero((low[:i] <= least[:i]) & np.isfinite(least[:i]))
+        if len(ks):
+            cost = exact(i, ks)
+            new = (cost < least[ks]) | ((cost == least[ks]) & ~stale[ks] & (near[ks] > i))
+            ks, cost = ks[new], cost[new]
+            near[ks], least[ks], stale[ks] = i, cost, False
+        if left - 1 <= len(m) // 2 and left > 64:  # without the dead
+            alive = np.isfinite(square)
+            near = (np.cumsum(alive) - 1)[near[alive]]
+            m, size, ids, square, least, stale = m[alive], size[alive], ids[alive], square[alive], least[alive], stale[alive]
+    return merges, costs
 
 
 def embed(texts: DataFrame, embedder=None, column: str = "content", to: str = "embedding") -> DataFrame:
