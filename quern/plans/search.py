@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import fusion, retrieval
 from quern.operators.vectors import cosine_top_k
+from quern.storage import settle
 
 
 @dataclass(frozen=True)
@@ -58,13 +59,13 @@ def search(store: Store, queries: DataFrame, config: SearchConfig | None = None)
     """query_id, rank, chunk_id, score, paths, content of the results; queries: query_id, query and, optionally, embedding."""
     c = config or SearchConfig()
     hits = fusion.gather(paths(store, queries, c))
-    pool = fusion.reciprocal_rank_fusion(hits, fusion.pool_size(c.top_k), c.weights, ratio=c.ratio)
-    rich = pool.join(store.chunks.select("chunk_id", "content", "tokens"), "chunk_id")
+    pool = settle(fusion.reciprocal_rank_fusion(hits, fusion.pool_size(c.top_k), c.weights, ratio=c.ratio), "pool")
+    rich = pool.join(fusion.of_pool(store.chunks.select("chunk_id", "content", "tokens"), pool), "chunk_id")
     if c.use_rerank:
         asked = queries.select("query_id", text.content_tokens(F.col("query")).alias("_q"))
         rich = fusion.rerank(rich.join(asked, "query_id"), fusion.overlap_score(F.col("_q"), F.col("tokens"))).drop("_q")
     if store.vectors is not None:
-        rich = rich.join(store.vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+        rich = rich.join(fusion.of_pool(store.vectors.select("chunk_id", "embedding"), pool), "chunk_id", "left")
     return fusion.diversify(rich, c.top_k, c.balance, c.normalise, carry=("paths", "content"))  # a join back would plan the recall twice
 
 
