@@ -10,7 +10,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -137,6 +137,17 @@ def clean_document(c: Column) -> Column:
     return remove_separators(remove_page_numbers(ensure_code_block_spacing(before)))
 
 
+def with_clean_document(rows: DataFrame, column: str) -> DataFrame:
+    """rows with clean_document of a column in its place; rules that name their text several times get it from a step before.
+
+    As one expression, each such rule works out all rules before it again for each time that it names its text.
+    """
+    last = (remove_page_numbers, remove_separators)
+    for steps in ((normalize_unicode,), NATIVE[:8], (ensure_list_spacing,), (ensure_code_block_spacing,), last):
+        rows = rows.withColumn(column, reduce(lambda x, f: f(x), steps, F.col(column)))
+    return rows
+
+
 def clean_passage(c: Column) -> Column:
     """Markdown syntax stripped to plain text."""
     stripped = reduce(lambda x, p: F.regexp_replace(x, UNICODE + p[0], p[1]), PASSAGE, c)

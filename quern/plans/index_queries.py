@@ -52,9 +52,10 @@ def _decorated(spark, d):
 
 def index_documents(docs, config=None):
     """Chunks with tokens of documents (doc_id, kb_id, text): cleaned, split, passages of under ten characters dropped."""
-    cleaned = docs.select("doc_id", "kb_id", clean.clean_document(F.col("text")).alias("text"))
+    cleaned = clean.with_clean_document(docs.select("doc_id", "kb_id", "text"), "text")
     chunks = chunking.chunk_documents(cleaned, config)
-    passed = chunks.withColumn("content", clean.clean_passage(F.col("content"))).filter(F.char_length("content") >= 10)
+    long = F.filter(F.array(clean.clean_passage(F.col("content"))), lambda p: F.char_length(p) >= 10)
+    passed = chunks.withColumn("content", F.explode(long))  # a filter would clean each passage once more
     tokens = text.distinct_tokens(F.col("content"))
     return passed.withColumn("content_tokens", tokens).withColumn("chunk_id", F.sha2(F.concat_ws("|", "doc_id", "seq_num", "content"), 256))
 

@@ -40,3 +40,16 @@ def test_idempotent(spark, texts):
     once = df.select(clean.clean_native(clean.clean_native(F.col("t"))).alias("t"))
     for a, b in once.select("t", clean.clean_native(F.col("t"))).collect():
         assert a == b
+
+
+def test_rules_run_once(spark):
+    """Each rule of cleaning a document, and of a passage, is in the plan of indexing once."""
+    from quern.plans.index_queries import index_documents
+
+    docs = spark.createDataFrame([(1, "k", "a\n- b\nc\n```\nx\n```\n\n\n\n\nlast words of it"), (2, "k", None), (3, "k", "short")], "doc_id long, kb_id string, text string")
+    found = index_documents(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ \\t]+$") == 1 and plan.count("{20,}") == 1 and plan.count("<[^>]+>") == 1
+    whole = docs.withColumn("own", clean.clean_document(F.col("text")))
+    assert [tuple(r) for r in clean.with_clean_document(docs, "text").select("doc_id", "text").collect()] == [tuple(r) for r in whole.select("doc_id", "own").collect()]
+    assert found.count() == 1
